@@ -6,6 +6,11 @@ as differing bits are at least the difference of counts. A pair of tiles is comp
 counts, and sends on a spanning forest of its links, so a group of k near copies gives about k links and not k squared;
 no link is lost for reachability. Links then become components.
 
+The 64 bits say too little for a given similarity of shingle sets. ``keep_one`` takes such a similarity, so there
+fingerprints go on for seven more words, each from the shingle hashes mixed anew. Tiles still meet by the first word,
+within a wide radius; a link then needs the differing bits of all 512 to be within what the similarity amounts to
+(sets of Jaccard similarity j lie at an angle of arccos(2j / (1 + j)), and a bit differs by angle / pi).
+
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; rows with a null identifier get a
 fingerprint and their component, whose identifier is the smallest that isn't null (null if there is none); repeated
 rows share a component; an empty table gives an empty result; other columns are ignored by ``components`` and carried
@@ -25,6 +30,7 @@ from .common import staged
 from .components import roots
 
 SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 4096
+SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, WORDS = 0.8, 5, 18, 8
 _S = 1 << 40  # a tile's number: its population count times this, plus its place
 
 
@@ -40,9 +46,7 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[k - 1 :])], np.uint64)
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit integer."""
-    hashes = shingle_hashes(text, k)
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8")
@@ -50,98 +54,140 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_fp", T.LongType())])
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    return _majority(shingle_hashes(text, k))
+
+
+def wide_fingerprint(text: str | None, k: int = WIDE_SHINGLE, words: int = WORDS) -> list[int]:
+    """The fingerprint, and more words from the same hashes mixed anew (each step is one of splitmix64)."""
+    hashes = shingle_hashes(text, k)
+    out = [_majority(hashes)]
+    for _ in range(words - 1):
+        hashes = hashes + np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        hashes = hashes ^ (hashes >> np.uint64(31))
+        out.append(_majority(hashes))
+    return out
+
+
+def differing_bits(similarity: float, words: int = WORDS) -> int:
+    """The most bits that fingerprints of sets of this Jaccard similarity should differ by."""
+    return int(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, words: int = 1) -> DataFrame:
+    """_id, _fp (the first word), _wide (all words) of each row."""
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_fp", T.LongType()), T.StructField("_wide", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), k) for t in batch.column(1)], pa.int64())], ["_id", "_fp"])
+            made = [wide_fingerprint(t.as_py(), k, words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["_id", "_fp", "_wide"])
 
     return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, block: int = 64) -> list[tuple[int, int]]:
-    """A spanning forest of all links between (or, with b None, within) the fingerprints of one or two tiles."""
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, most: int | None = None, block: int = 64) -> list[tuple[int, int]]:
+    """A spanning forest of all links between (or, with b None, within) the fingerprints of one or two tiles.
+
+    Tiles are arrays of a row of words for each fingerprint; a link has at most ``radius`` differing bits in the first
+    word and, if ``most`` is given, at most so many in all. Links are pairs of places in a followed by b.
+    """
     own = a if b is None else np.concatenate([a, b])
     other, shift = (a, 0) if b is None else (b, len(a))
     label = np.arange(len(own))
     for at in range(0, len(a), block):
-        near = np.bitwise_count(a[at : at + block, None] ^ other[None, :]) <= radius
+        near = np.bitwise_count(a[at : at + block, 0, None] ^ other[None, :, 0]) <= radius
         if b is None:
             near[np.arange(len(near)), np.arange(at, at + len(near))] = False
-        for row in np.flatnonzero(near.any(axis=1)):
-            found = label[np.flatnonzero(near[row]) + shift]
-            mine = label[at + row]
+        row, col = np.nonzero(near)
+        if most is not None and len(row):
+            fits = np.bitwise_count(a[at + row] ^ other[col]).sum(axis=1) <= most
+            row, col = row[fits], col[fits]
+        for r, members in zip(*_grouped(row, col), strict=True):
+            found, mine = label[members + shift], label[at + r]
             if (found != mine).any():
                 classes = np.unique(np.append(found, mine))
                 label[np.isin(label, classes)] = classes[0]
-    moved = np.flatnonzero(label != np.arange(len(own)))
-    return [(int(own[i]), int(own[label[i]])) for i in moved]
+    return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(len(own)))]
+
+
+def _grouped(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    if not len(row):
+        return row, []
+    cut = np.flatnonzero(np.diff(row)) + 1
+    return row[np.append(0, cut)], np.split(col, cut)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Columns a, b: links that connect exactly what fingerprints (column _fp, distinct) within the radius connect."""
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, most: int | None = None) -> DataFrame:
+    """Columns a, b (fingerprints of all words): links that connect exactly what the distinct fingerprints' links connect."""
     ones = F.bit_count("_fp")
     counts = {r[0]: r[1] for r in distinct.groupBy(ones).count().collect()}  # 65 rows at most
     tiles_of = [-(-counts.get(p, 0) // tile) for p in range(65 + radius)]
     number = F.array(*(F.lit(max(1, n)).cast("long") for n in tiles_of))
     has = F.array(*(F.lit(n).cast("long") for n in tiles_of))
-    place = F.pmod(F.xxhash64("_fp"), F.element_at(number, ones + 1))
-    tiles = staged(distinct.groupBy((ones.cast("long") * _S + place).alias("t")).agg(F.collect_list("_fp").alias("x")), "tiles")
+    place = F.pmod(F.xxhash64("_wide"), F.element_at(number, ones + 1))
+    tiles = staged(distinct.groupBy((ones.cast("long") * _S + place).alias("t")).agg(F.flatten(F.collect_list("_wide")).alias("x")), "tiles")
     count = F.expr(f"cast(t div {_S} as int)")
     # Each tile meets itself, later tiles of its own count, and every tile of the next `radius` counts.
     partners = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda d: F.when(F.element_at(has, count + d + 1) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.element_at(has, count + d + 1) - 1), lambda s: (count + d).cast("long") * _S + s)).otherwise(F.array().cast("array<bigint>"))))
     pairs = tiles.select(F.col("t").alias("ta"), F.col("x").alias("xa"), F.explode(partners).alias("t")).filter("t >= ta").join(tiles, "t")
     met = sum(tiles_of[p] * (tiles_of[p] + 1) // 2 + tiles_of[p] * sum(tiles_of[p + 1 : p + 1 + radius]) for p in range(65))
     at_once = max(1, min(met, 16 * distinct.sparkSession.sparkContext.defaultParallelism))
+    words = F.size("_wide")
+    width = distinct.select(words).limit(1).collect()
+    width = width[0][0] if width else 1
 
     def run(batches):
+        kind = pa.list_(pa.int64())
         for batch in batches:
-            for ta, t, xa, x in zip(*(c.to_pylist() for c in batch.select(["ta", "t", "xa", "x"]).columns), strict=True):
-                found = forest(np.array(xa, np.int64).view(np.uint64), None if ta == t else np.array(x, np.int64).view(np.uint64), radius)
-                a, b = np.array(found, np.uint64).reshape(-1, 2).T.view(np.int64) if found else (np.zeros(0, np.int64),) * 2
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return pairs.select("ta", "t", "xa", "x").repartition(at_once, "ta", "t").mapInArrow(run, "a long, b long")
-
-
-def _classes(df: DataFrame, id_col: str, text_col: str, radius: int, k: int, tile: int) -> tuple[DataFrame, DataFrame]:
-    """(_id, _fp) of each row, and _fp, component_id for each distinct fingerprint."""
-    rows = staged(fingerprints(df, id_col, text_col, k), "fingerprints")
-    distinct = staged(rows.groupBy("_fp").agg(F.min("_id").alias("_least")), "distinct")
-    up = roots(links(distinct, radius, tile), "a", "b")
-    rooted = distinct.join(up.withColumnsRenamed({"u": "_fp", "v": "_root"}), "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
+            for k in range(batch.num_rows):
+                ta, t, xa, x = (batch.column(c)[k] for c in range(4))
+                one = xa.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
+                two = x.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
+                own = one if ta.as_py() == t.as_py() else np.concatenate([one, two])
+                found = forest(one, None if ta.as_py() == t.as_py() else two, radius, most)
+                own = own.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i, _ in found], kind), pa.array([own[j] for _, j in found], kind)], ["a", "b"])
+
+    return pairs.select("ta", "t", "xa", "x").repartition(at_once, "ta", "t").mapInArrow(run, "a array<long>, b array<long>")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, radius: int, k: int, tile: int, words: int = 1, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(_id, _fp, _wide) of each row, and _wide, component_id for each distinct fingerprint."""
+    rows = staged(fingerprints(df, id_col, text_col, k, words), "fingerprints")
+    distinct = staged(rows.groupBy("_fp", "_wide").agg(F.min("_id").alias("_least")), "distinct")
+    up = roots(links(distinct, radius, tile, most), "a", "b")
+    rooted = distinct.join(up.withColumnsRenamed({"u": "_wide", "v": "_root"}), "_wide", "left").withColumn("_root", F.coalesce("_root", "_wide"))
     names = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return rows, rooted.join(names, "_root").select("_fp", "component_id")
+    return rows, rooted.join(names, "_root").select("_wide", "component_id", "_root")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """One row per input row: id_col, fingerprint (16 hex digits), component_id."""
     rows, classes = _classes(df, id_col, text_col, radius, k, tile)
-    return rows.join(classes, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(classes, "_wide").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """The rows that stay, one of each component: that with the smallest identifier (rows without one: only where a
-    component has no other); of rows repeated with that identifier, one."""
-    rows, classes = _classes(df, id_col, text_col, radius, k, tile)
-    kept = rows.join(classes, "_fp").filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", "_fp").distinct()
-    # A null component: every text of it lacks an identifier; one text stands for it.
-    named = kept.filter("_id is not null")
-    ids = df.filter(F.col(f"`{id_col}`").isNotNull())
-    out = ids.join(named.select(F.col("_id").alias(id_col)).distinct(), id_col, "left_semi")
-    repeated = named.join(rows.filter("_id is not null").groupBy("_id").count().filter("count > 1"), "_id", "left_semi")
-    if repeated.limit(1).count():
-        order = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.xxhash64(F.col(f"`{text_col}`")), F.col(f"`{text_col}`"))
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, k: int = WIDE_SHINGLE, words: int = WORDS, tile: int = TILE) -> DataFrame:
+    """The rows that stay, one of each component of texts that similarity links: that with the smallest identifier.
+
+    Of rows that share that identifier, or of a component in which no row has one, the row of the smallest text stays.
+    """
+    rows, classes = _classes(df, id_col, text_col, radius, k, tile, words, differing_bits(similarity, words))
+    kept = staged(rows.join(classes, "_wide").filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct(), "kept")
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    out = df.join(kept.select(F.col("_id").alias(id_col)).distinct(), id_col, "left_semi")
+    # What follows is needed only where identifiers repeat or are missing.
+    if rows.filter("_id is not null").groupBy("_id").count().filter("count > 1").limit(1).count():
+        order = Window.partitionBy(ident).orderBy(text)
         out = out.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-    nulls = rows.filter("_id is null").join(classes.filter("component_id is null"), "_fp").limit(1).count()
-    if nulls:
-        fps = rows.filter("_id is null").join(classes.filter("component_id is null"), "_fp").select("_fp").distinct()
-        anonymous = df.filter(F.col(f"`{id_col}`").isNull())
-        own = fingerprints(anonymous.select(F.col(f"`{text_col}`").alias("_t"), F.col(f"`{text_col}`").alias("_u")), "_t", "_u", k).distinct()
-        rooted = fps.join(roots(links(fps, radius, tile), "a", "b").withColumnsRenamed({"u": "_fp", "v": "_root"}), "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
-        text = own.join(rooted, "_fp").groupBy("_root").agg(F.min("_id").alias("_t"))
-        picked = anonymous.join(text, F.col(f"`{text_col}`").eqNullSafe(F.col("_t")), "left_semi")
-        order = Window.partitionBy(F.col(f"`{text_col}`")).orderBy(F.lit(0))
+    if kept.filter("_id is null").limit(1).count():
+        nameless = df.filter(ident.isNull()).select(text.alias("_t"), text.alias("_u"))
+        own = fingerprints(nameless, "_t", "_u", k, words).join(classes.filter("component_id is null"), "_wide").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNotNull(), "_id"))["_id"].alias("_t"))
+        picked = df.filter(ident.isNull()).join(own.select("_t").distinct(), text.eqNullSafe(F.col("_t")), "left_semi")
+        order = Window.partitionBy(text).orderBy(F.lit(0))
         out = out.unionByName(picked.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n"))
     return out.select(*(F.col(f"`{c}`") for c in df.columns))
