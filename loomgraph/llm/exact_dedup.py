@@ -57,8 +57,8 @@ class PatriciaTrie:
     ``merge(old, new)`` combines the values of equal strings. ``items`` yields each string once.
     """
 
-    def __init__(self, merge: Callable, limit: int = TRIE_BYTES, depth: int = 0):
-        self.merge, self.limit, self.depth = merge, limit, depth
+    def __init__(self, merge: Callable, limit: int = TRIE_BYTES):
+        self.merge, self.limit, self.keys = merge, limit, 0
         self.root, self.held = Node(b""), {}
         self.spilled: dict[int, object] = {}
         self.size = 0
@@ -70,12 +70,14 @@ class PatriciaTrie:
         node, at, before = self.root, 0, self.size
         while True:
             if at == len(key):
+                self.keys += node.value is None
                 node.value = value if node.value is None else self.merge(node.value, value)
                 break
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = Node(key[at:], value)
                 self.size += len(key) - at + 300
+                self.keys += 1
                 break
             if key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
@@ -89,7 +91,7 @@ class PatriciaTrie:
             self.size += 300
         if key:
             self.held[key[0]] = self.held.get(key[0], 0) + self.size - before
-        if self.size > self.limit and self.held:
+        if self.size > self.limit and self.keys > 1 and self.held:
             self._spill(max(self.held, key=self.held.get))
 
     def _spill(self, first: int) -> None:
@@ -112,18 +114,25 @@ class PatriciaTrie:
         yield from self._walk(self.root, b"")
         self.root, self.held, self.size = Node(b""), {}, 0
         for first, file in self.spilled.items():
-            file.seek(0)
-            # Below the shared first byte the subtree branches anew, so it can spill again by its own subtrees.
-            sub = PatriciaTrie(self.merge, self.limit, self.depth + 1)
-            while True:
-                try:
-                    key, value = pickle.load(file)
-                except EOFError:
-                    break
-                sub.insert(key[1:], value)
+            # Below what all its strings share, the subtree branches anew, so it can spill again by its own subtrees.
+            shared = None
+            for key, _ in self._read(file):
+                shared = key if shared is None else shared[: _shared(shared, key, 0)]
+            sub = PatriciaTrie(self.merge, self.limit)
+            for key, value in self._read(file):
+                sub.insert(key[len(shared) :], value)
             file.close()
             for key, value in sub.items():
-                yield bytes([first]) + key, value
+                yield shared + key, value
+
+    @staticmethod
+    def _read(file) -> Iterator[tuple[bytes, object]]:
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
 
 
 def _earlier(a: tuple, b: tuple) -> tuple:
