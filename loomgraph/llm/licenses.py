@@ -130,6 +130,11 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
     ``diagonal`` is the place in the text of the template's first word; row i looks at places diagonal + i ± band.
     """
     width = 2 * band + 1
+
+    def rank(x):
+        """More matches, then closer together, then nearer to the diagonal."""
+        return x[0], x[1] - x[2], -abs(x[1] - diagonal)
+
     best = [(0, -1, -1)] * (width + 1)  # by offset in the band: matches, first, last
     for i, w in enumerate(template):
         row = []
@@ -141,9 +146,9 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
             if 0 <= j < len(words) and words[j] == w:
                 m, first, _ = best[o]
                 options.append((m + 1, first if m else j, j))
-            row.append(max(options, key=lambda x: (x[0], x[1] - x[2])))
+            row.append(max(options, key=rank))
         best = [*row, (0, -1, -1)]
-    m, first, last = max(best, key=lambda x: (x[0], x[1] - x[2]))
+    m, first, last = max(best, key=rank)
     return m, first, last + 1
 
 
