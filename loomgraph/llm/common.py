@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WHITESPACE = b" \t\n\x0b\x0c\r"
 #: The same as a Java regular expression for the words between.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
+_STAGED: list[str] = []
 _TO_SPACE = bytes(32 if c in WHITESPACE else c for c in range(256))
 
 
@@ -48,9 +49,18 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this session has staged; its results must have been written before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def spread(df: DataFrame, factor: int = 4) -> int:
     """A number of partitions for compute-bound steps: follows the cluster, and at least its shuffle partitions."""
     spark = df.sparkSession

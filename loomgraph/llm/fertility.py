@@ -15,6 +15,7 @@ empty table gives an empty result. ``measure`` returns only its own columns, ``k
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -134,8 +135,9 @@ def duplicate_lines(raw: bytes) -> int:
 
 
 def script(text: str) -> str:
-    letters = [c for c in text[:4096] if c.isalpha()]
-    return "latin" if not letters or 2 * sum(ord(c) < 0x250 for c in letters) >= len(letters) else "other"
+    """The script of most letters of a text; latin if it has none."""
+    letters = {c: n for c, n in Counter(text).items() if c.isalpha()}
+    return "latin" if 2 * sum(n for c, n in letters.items() if ord(c) < 0x250) >= sum(letters.values()) else "other"
 
 
 def verdict(chars_per_token: float, fallback: float, entropy: float, n_tokens: int, band: tuple) -> bool:

@@ -111,3 +111,20 @@ def test_training_agrees_with_itself(spark):
     labels = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(graded(3, 120))], "doc_id long, grade int")
     a, b = ordinal.train(df, labels, max_rows=80), ordinal.train(df.repartition(5), labels.repartition(3), max_rows=80)
     assert np.allclose(a.weights, b.weights) and rows(ordinal.score(df, a)) == rows(ordinal.score(df, b))
+
+
+def test_script_counts_all_letters():
+    assert fertility.script("abc " * 2000 + "漢字" * 5000) == "other" and fertility.script("") == fertility.script("éa漢 1") == "latin"
+
+
+def test_staged_tables_are_released(spark):
+    from pathlib import Path
+
+    from loomgraph.llm.common import release, shared_dir, staged
+
+    release(spark)
+    staged(spark.range(3).toDF("x"), "trial")
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    assert list(folder.glob("trial-*"))
+    release(spark)
+    assert not list(folder.glob("trial-*"))
