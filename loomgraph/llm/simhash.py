@@ -7,8 +7,8 @@ counts, and sends on a spanning forest of its links, so a group of k near copies
 no link is lost for reachability. Links then become components.
 
 The 64 bits say too little for a given similarity of shingle sets. ``keep_one`` takes such a similarity, so there
-fingerprints go on for seven more words, each from the shingle hashes mixed anew. Tiles still meet by the first word,
-within a wide radius; a link then needs the differing bits of all 512 to be within what the similarity amounts to
+fingerprints go on for three more words, each from the shingle hashes mixed anew. Tiles still meet by the first word,
+within a wide radius; a link then needs the differing bits of all 256 to be within what the similarity amounts to
 (sets of Jaccard similarity j lie at an angle of arccos(2j / (1 + j)), and a bit differs by angle / pi).
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; rows with a null identifier get a
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .common import staged
 from .components import roots
 
-SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 4096
-SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, WORDS = 0.8, 5, 18, 8
+SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 1 << 16
+SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, WORDS = 0.8, 5, 18, 4
 _S = 1 << 40  # a tile's number: its population count times this, plus its place
 
 
@@ -89,7 +89,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, wo
     return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, most: int | None = None, block: int = 64) -> list[tuple[int, int]]:
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, most: int | None = None, block: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of all links between (or, with b None, within) the fingerprints of one or two tiles.
 
     Tiles are arrays of a row of words for each fingerprint; a link has at most ``radius`` differing bits in the first
@@ -98,6 +98,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, most: int
     own = a if b is None else np.concatenate([a, b])
     other, shift = (a, 0) if b is None else (b, len(a))
     label = np.arange(len(own))
+    block = block or max(1, (1 << 19) // max(1, len(other)))  # comparisons at once, so that they stay in a core's cache
     for at in range(0, len(a), block):
         near = np.bitwise_count(a[at : at + block, 0, None] ^ other[None, :, 0]) <= radius
         if b is None:
@@ -131,28 +132,39 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, most: int
     place = F.pmod(F.xxhash64("_wide"), F.element_at(number, ones + 1))
     tiles = staged(distinct.groupBy((ones.cast("long") * _S + place).alias("t")).agg(F.flatten(F.collect_list("_wide")).alias("x")), "tiles")
     count = F.expr(f"cast(t div {_S} as int)")
-    # Each tile meets itself, later tiles of its own count, and every tile of the next `radius` counts.
-    partners = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda d: F.when(F.element_at(has, count + d + 1) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.element_at(has, count + d + 1) - 1), lambda s: (count + d).cast("long") * _S + s)).otherwise(F.array().cast("array<bigint>"))))
-    pairs = tiles.select(F.col("t").alias("ta"), F.col("x").alias("xa"), F.explode(partners).alias("t")).filter("t >= ta").join(tiles, "t")
+
+    def meetings(d):
+        """Pairs of this tile with every tile whose count is ``d`` more: numbers in order, and whether it comes second."""
+        n = F.when(count + d >= 0, F.element_at(has, count + d + 1))
+        other = lambda s: (count + d).cast("long") * _S + s
+        pair = lambda s: F.struct(F.least("t", other(s)).alias("ta"), F.greatest("t", other(s)).alias("tb"), (other(s) < F.col("t")).alias("second"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), pair)).otherwise(F.array().cast("array<struct<ta:bigint,tb:bigint,second:boolean>>"))
+
+    meets = F.flatten(F.transform(F.sequence(F.lit(-radius), F.lit(radius)), meetings))
+    rows = tiles.select(F.explode(meets).alias("m"), "x").select("m.ta", "m.tb", "m.second", "x")
     met = sum(tiles_of[p] * (tiles_of[p] + 1) // 2 + tiles_of[p] * sum(tiles_of[p + 1 : p + 1 + radius]) for p in range(65))
-    at_once = max(1, min(met, 16 * distinct.sparkSession.sparkContext.defaultParallelism))
-    words = F.size("_wide")
-    width = distinct.select(words).limit(1).collect()
+    width = distinct.select(F.size("_wide")).limit(1).collect()
     width = width[0][0] if width else 1
 
     def run(batches):
         kind = pa.list_(pa.int64())
+        first = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                ta, t, xa, x = (batch.column(c)[k] for c in range(4))
-                one = xa.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
-                two = x.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
-                own = one if ta.as_py() == t.as_py() else np.concatenate([one, two])
-                found = forest(one, None if ta.as_py() == t.as_py() else two, radius, most)
+            for ta, tb, second, x in zip(*(batch.column(c) for c in range(4)), strict=True):
+                tile_ = x.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
+                if second.as_py():
+                    own, found = np.concatenate([first, tile_]), forest(first, tile_, radius, most)
+                elif ta.as_py() == tb.as_py():
+                    own, found = tile_, forest(tile_, None, radius, most)
+                else:  # the second of the pair comes next
+                    first = tile_.copy()
+                    continue
                 own = own.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([own[i] for i, _ in found], kind), pa.array([own[j] for _, j in found], kind)], ["a", "b"])
 
-    return pairs.select("ta", "t", "xa", "x").repartition(at_once, "ta", "t").mapInArrow(run, "a array<long>, b array<long>")
+    # About a pair to a partition: a task is then a comparison of bounded size, and holds two tiles.
+    dealt = rows.repartition(max(1, min(met, 20_000)), "ta", "tb").sortWithinPartitions("ta", "tb", "second")
+    return dealt.mapInArrow(run, "a array<long>, b array<long>")
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, radius: int, k: int, tile: int, words: int = 1, most: int | None = None) -> tuple[DataFrame, DataFrame]:
