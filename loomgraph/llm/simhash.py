@@ -191,7 +191,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     rows, classes = _classes(df, id_col, text_col, radius, k, tile, words, differing_bits(similarity, words))
     kept = staged(rows.join(classes, "_wide").filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct(), "kept")
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    out = df.join(kept.select(F.col("_id").alias(id_col)).distinct(), id_col, "left_semi")
+    # A merge join at every size: what stays grows with the input, so it is never broadcast.
+    out = df.join(kept.select(F.col("_id").alias(id_col)).distinct().hint("merge"), id_col, "left_semi")
     # What follows is needed only where identifiers repeat or are missing.
     if rows.filter("_id is not null").groupBy("_id").count().filter("count > 1").limit(1).count():
         order = Window.partitionBy(ident).orderBy(text)
