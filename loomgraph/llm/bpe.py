@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.json"
 LEAF, WINDOW, AGREE = 16_384, 64, 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _BEFORE_SPACE = re.compile(r"\s ")
 
 

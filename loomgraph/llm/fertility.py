@@ -33,7 +33,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: show, ceilings leave room for prose that the vocabulary knows well.
 LANGUAGE_BANDS = {"en": (1.90, 7.0, 0.05, 0.735), "de": (2.05, 7.0, 0.10, 0.735), "fr": (1.75, 7.0, 0.10, 0.735), "es": (1.85, 7.0, 0.10, 0.735)}
 SCRIPT_BANDS = {"latin": (1.5, 8.0, 0.15, 0.70), "other": (0.3, 8.0, 0.95, 0.60)}
-CACHE_WORDS, CHUNK_BYTES = 400_000, 4 << 20
+CACHE_WORDS, CHUNK_BYTES = 100_000, 4 << 20
 _SYMBOLS = b"#*$%&|<>"
 
 
