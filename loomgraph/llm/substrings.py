@@ -4,7 +4,8 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
 independent pieces first: the least hash of the short strings inside a window (its anchor) depends on the window alone,
 so equal windows have equal anchors. Runs of window starts with one anchor are items, kept as hashes and offsets. Items
 with equal contents are repeats as a whole, whatever their number, and are counted, never gathered. What remains is
-one item for each distinct content of an anchor that has several: their bytes are fetched and meet by anchor.
+one item for each distinct content of an anchor that has several, and single items whose windows may equal each other
+(equal windows at two places put the string behind the anchor at two places): their bytes are fetched and meet by anchor.
 
 There, pieces of bounded size are concatenated, each with an end mark of its own, and their suffixes sorted. From the
 transform, intervals of equal prefixes are extended backward, breadth first: strings of m bytes settle the common
@@ -67,14 +68,16 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def items(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, run: int = RUN) -> list[np.ndarray]:
-    """Arrays of: number of the text, first and last window start of the item, anchor; over all texts in order."""
+    """Arrays of: number of the text, first and last window start of the item, anchor, and whether the string behind the
+    anchor stands in the item more than once; over all texts in order."""
     gram = min(gram, length)
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(texts), np.uint8)
     if not (sizes >= length).any():
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
-    anchor = _least(_gram_hashes(data, gram), length - gram + 1)
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64), np.zeros(0, bool)]
+    hashes = _gram_hashes(data, gram)
+    anchor = _least(hashes, length - gram + 1)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
     place = np.arange(len(anchor)) - starts[owner]
     valid = place <= sizes[owner] - length
@@ -88,7 +91,9 @@ def items(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, run: int =
     low = at[again] + nth * run
     high = np.minimum(low + run, stop[again])
     own = owner[low]
-    return [own, low - starts[own], high - 1 - starts[own], anchor[low]]
+    within = length - gram
+    twice = [np.count_nonzero(hashes[a : b + within] == m) > 1 for a, b, m in zip(low.tolist(), high.tolist(), anchor[low], strict=True)]
+    return [own, low - starts[own], high - 1 - starts[own], anchor[low], np.array(twice, bool)]
 
 
 # The transform
@@ -214,11 +219,11 @@ def _found_items(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 texts = [t.encode() for t in part.column(2).to_pylist()]
-                own, first, last, anchor = items(texts, length, gram)
+                own, first, last, anchor, twice = items(texts, length, gram)
                 content = np.array([xxhash.xxh3_64_intdigest(texts[k][a : b + length]) for k, a, b in zip(own.tolist(), first.tolist(), last.tolist(), strict=True)], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], ["_id", "_h", "_a", "_b", "_m", "_c"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(twice)], ["_id", "_h", "_a", "_b", "_m", "_c", "_r"])
 
-    return docs.mapInArrow(run, _schema(_kind(docs), "_h long, _a int, _b int, _m long, _c long"))
+    return docs.mapInArrow(run, _schema(_kind(docs), "_h long, _a int, _b int, _m long, _c long, _r boolean"))
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -289,11 +294,11 @@ def _counted(contents: DataFrame, length: int) -> DataFrame:
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE_BYTES, group: int = GROUP_BYTES) -> DataFrame:
     """_id, _h, _marks (array of _a, _b): inclusive runs of places from which ``length`` bytes are found elsewhere."""
     every = staged(_found_items(docs, length, gram), "items")
-    shared = every.groupBy("_m").count().filter("count > 1").select("_m")
+    shared = every.groupBy("_m").agg(F.count("*").alias("_n"), F.max("_r").alias("_r")).filter("_n > 1 or _r").select("_m")
     again = staged(every.join(shared, "_m", "left_semi"), "shared-items")
-    distinct = again.groupBy("_m", "_c").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in ("_id", "_h", "_a", "_b")))
+    distinct = again.groupBy("_m", "_c").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in ("_id", "_h", "_a", "_b", "_r")))
     whole = again.join(distinct.filter("_n > 1").select("_m", "_c"), ["_m", "_c"], "left_semi").select("_id", "_h", "_a", "_b")
-    kinds = distinct.groupBy("_m").agg(F.count("*").alias("_k"), F.sum(F.col("_b").cast("long") - F.col("_a") + length).alias("_size")).filter("_k > 1")
+    kinds = distinct.groupBy("_m").agg(F.count("*").alias("_k"), F.sum(F.col("_b").cast("long") - F.col("_a") + length).alias("_size"), F.max(F.col("_r") & (F.col("_n") == 1)).alias("_r")).filter("_k > 1 or _r").drop("_r")
     open_ = staged(distinct.join(kinds, "_m").select("_id", "_h", "_a", "_b", "_m", (F.col("_n") == 1).alias("_one"), "_size"), "open-items")
     found = _transformed(_contents(docs, open_.filter(F.col("_size") <= group), length), length, piece)
     if open_.filter(F.col("_size") > group).limit(1).count():

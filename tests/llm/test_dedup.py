@@ -207,5 +207,18 @@ def test_removal(spark, odd, length, gram, piece, group):
     assert sorted(got, key=repr) == want
 
 
+@pytest.mark.parametrize("group", [substrings.GROUP_BYTES, 0])
+def test_repeats_within_one_item(spark, group):
+    """Periodic texts whose windows have one anchor that stands nowhere else."""
+    rnd = random.Random(11)
+    line = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = [line(100) * 6, "-" * 401, "=" * 911, (line(37) * 20)[:500], line(350) * 2, line(300) + line(90) * 7 + line(300), "_" * 400, line(600), (line(48) + line(200)) * 2]
+    for given in [[t] for t in texts] + [texts]:
+        df = spark.createDataFrame([(i, t, None, None, None, *"cccccc") for i, t in enumerate(given)], KIND)
+        got = [(r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in sorted(substrings.remove(df, group=group).collect(), key=lambda r: r["doc_id"])]
+        assert got == brute_repeats([t.encode() for t in given], 400)
+    assert brute_repeats([texts[0].encode()], 400)[0][1] == 600
+
+
 def test_removal_of_nothing(empty):
     assert substrings.remove(empty).count() == 0
