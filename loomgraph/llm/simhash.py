@@ -7,7 +7,7 @@ counts, and sends on a spanning forest of its links, so a group of k near copies
 no link is lost for reachability. Links then become components.
 
 The 64 bits say too little for a given similarity of shingle sets. ``keep_one`` takes such a similarity, so there
-fingerprints go on for three more words, each from the shingle hashes mixed anew. Tiles still meet by the first word,
+repeated shingles count once and fingerprints go on for three more words, each from the shingle hashes mixed anew. Tiles still meet by the first word,
 within a wide radius; a link then needs the differing bits of all 256 to be within what the similarity amounts to
 (sets of Jaccard similarity j lie at an angle of arccos(2j / (1 + j)), and a bit differs by angle / pi).
 
@@ -62,6 +62,8 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 def wide_fingerprint(text: str | None, k: int = WIDE_SHINGLE, words: int = WORDS) -> list[int]:
     """The fingerprint, and more words from the same hashes mixed anew (each step is one of splitmix64)."""
     hashes = shingle_hashes(text, k)
+    if words > 1:  # a similarity of sets: a shingle counts once, however often it stands
+        hashes = np.unique(hashes)
     out = [_majority(hashes)]
     for _ in range(words - 1):
         hashes = hashes + np.uint64(0x9E3779B97F4A7C15)

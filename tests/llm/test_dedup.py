@@ -156,6 +156,20 @@ def test_keep_one(spark, odd, empty):
     assert len(ids) == len(set(ids))
 
 
+def test_a_repeated_line_does_not_make_near_copies(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    line = " ".join(word() for _ in range(10))
+
+    def text(times):
+        own = [" ".join(word() for _ in range(1400 // times)) for _ in range(times)]
+        return " ".join(f"{part} {line}" for part in own)
+
+    for times in (40, 60):
+        df = spark.createDataFrame([(i, text(times), None, None, None, *"cccccc") for i in range(4)], KIND)
+        assert [r[0] for r in rows(simhash.keep_one(df))] == [0, 1, 2, 3]
+
+
 def test_similarity_as_bits():
     assert simhash.differing_bits(1.0, 8) == 0 and 70 < simhash.differing_bits(0.8, 8) < 85 and simhash.differing_bits(0.0, 8) == 256
 
