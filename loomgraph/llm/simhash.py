@@ -7,8 +7,8 @@ counts, and sends on a spanning forest of its links, so a group of k near copies
 no link is lost for reachability. Links then become components.
 
 The 64 bits say too little for a given similarity of shingle sets. ``keep_one`` takes such a similarity, so there
-repeated shingles count once and fingerprints go on for three more words, each from the shingle hashes mixed anew. Tiles still meet by the first word,
-within a wide radius; a link then needs the differing bits of all 256 to be within what the similarity amounts to
+repeated shingles count once and fingerprints go on for seven more words, each from the shingle hashes mixed anew. Tiles still meet by the first word,
+within a wide radius; a link then needs the differing bits of all 512 to be within what the similarity amounts to
 (sets of Jaccard similarity j lie at an angle of arccos(2j / (1 + j)), and a bit differs by angle / pi).
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; rows with a null identifier get a
@@ -30,7 +30,7 @@ from .common import staged
 from .components import roots
 
 SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 1 << 16
-SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, WORDS = 0.8, 5, 18, 4
+SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, WORDS = 0.8, 5, 18, 8
 _S = 1 << 40  # a tile's number: its population count times this, plus its place
 
 

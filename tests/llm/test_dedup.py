@@ -174,6 +174,20 @@ def test_similarity_as_bits():
     assert simhash.differing_bits(1.0, 8) == 0 and 70 < simhash.differing_bits(0.8, 8) < 85 and simhash.differing_bits(0.0, 8) == 256
 
 
+def test_wide_fingerprints_link_a_similarity_of_085():
+    """The fingerprints that the pipeline uses; 150 pairs of sets of similarity 0.849."""
+    rnd, linked = random.Random(31), 0
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    for _ in range(150):
+        one = [word() for _ in range(310)]
+        two = one.copy()
+        for j in range(5):
+            two[20 + 30 * j] = word()
+        a, b = (np.array([simhash.wide_fingerprint(" ".join(x))]).view(np.uint64) for x in (one, two))
+        linked += bool(simhash.forest(a, b, simhash.WIDE_RADIUS, simhash.differing_bits(simhash.SIMILARITY)))
+    assert linked >= 135
+
+
 def test_roots(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 3), (5, 4), (4, 1), (7, 9)], "a long, b long")
     assert rows(roots(links, "a", "b")) == [(2, 1), (3, 1), (4, 1), (5, 1), (8, 7), (9, 7)]
