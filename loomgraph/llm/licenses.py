@@ -3,7 +3,8 @@
 Templates are public license notices and grants. Their winnowed 3-word hashes are an inverted index (of fixed size,
 sent to the executors). A text's 3-word hashes that are in the index vote for a template and a diagonal; around each
 voted diagonal a banded word alignment finds how many template words match in order. A template is reported if the
-matched share of its words, its coverage, is at least 0.8 somewhere, with the spans of all such places.
+matched share of its words, its coverage, is at least 0.8 somewhere, with the spans of all such places. Words that tell
+a license from its kin (name, version) must be among them.
 
 Winnowing keeps the least hash of each window, so any run of ``K + KEEP - 1`` template words in a text has an indexed
 hash. Texts are compared by words without case and punctuation.
@@ -34,6 +35,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -57,6 +59,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -65,9 +70,78 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ),
+    "CC-BY-ND-4.0": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
+    "CC-BY-NC-SA-4.0": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-NC-ND-4.0": (
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ),
+    "EPL-1.0": (
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
 }
 
+# Words that tell a license from its kin. Where a template holds one of its license's phrases, a place
+# must hold it too, in unbroken order.
+TELLING: dict[str, tuple[str, ...]] = {
+    "MIT": ("mit license",),
+    "Apache-2.0": ("apache license", "2.0"),
+    "GPL-3.0": ("gnu general public license", "version 3"),
+    "GPL-2.0": ("gnu general public license", "version 2"),
+    "AGPL-3.0": ("gnu affero general public license", "version 3"),
+    "LGPL": ("gnu lesser general public license",),
+    "LGPL-3.0": ("gnu lesser general public license", "version 3"),
+    "LGPL-2.1": ("gnu lesser general public license", "version 2.1"),
+    "MPL-2.0": ("mozilla public license", "2.0"),
+    "EPL-1.0": ("eclipse public license v1.0",),
+    "EPL-2.0": ("eclipse public license", "2.0"),
+    "BSL-1.0": ("boost software license", "1.0"),
+    "CC0-1.0": ("cc0 1.0",),
+    "CC-BY-4.0": ("cc by 4.0", "creative commons attribution 4.0"),
+    "CC-BY-SA-4.0": ("cc by-sa 4.0", "creative commons attribution-sharealike 4.0"),
+    "CC-BY-NC-4.0": ("cc by-nc 4.0", "creative commons attribution-noncommercial 4.0"),
+    "CC-BY-ND-4.0": ("cc by-nd 4.0", "creative commons attribution-noderivatives 4.0"),
+    "CC-BY-NC-SA-4.0": ("cc by-nc-sa 4.0", "creative commons attribution-noncommercial-sharealike 4.0"),
+    "CC-BY-NC-ND-4.0": ("cc by-nc-nd 4.0", "creative commons attribution-noncommercial-noderivatives 4.0"),
+}
+
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SAYS = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 _EDGES = b".,;:!?\"'()[]{}<>*#-"
 
 
@@ -75,6 +149,11 @@ def plain(word: bytes) -> bytes:
     return word.lower().strip(_EDGES) or word
 
 
+def phrased(words: list[bytes]) -> bytes:
+    """Words with a blank at each side; marks of comments and lists between them don't count."""
+    return b" " + b" ".join(plain(w) for w in words if _SAYS.search(w)) + b" "
+
+
 def _keys(numbers: np.ndarray, k: int) -> np.ndarray:
     """A key for each k words whose numbers are all positive, else 0."""
     n = len(numbers) - k + 1
@@ -97,9 +176,11 @@ def winnowed(keys: np.ndarray, keep: int) -> list[int]:
 
 
 class Index:
-    def __init__(self, templates: dict, k: int = K, keep: int = KEEP):
+    def __init__(self, templates: dict, k: int = K, keep: int = KEEP, telling: dict | None = None):
         self.k = k
         self.items = [(name, [plain(w) for w in _WORD.findall(text.encode())]) for name, texts in templates.items() for text in texts]
+        said = {name: [b" " + p.encode() + b" " for p in phrases] for name, phrases in (telling or {}).items()}
+        self.telling = [[p for p in said.get(name, ()) if p in phrased(words)] for name, words in self.items]
         self.vocabulary = {w for _, words in self.items for w in words}
         self.cache: dict[bytes, int] = {}
         places: dict[int, list] = {}
@@ -171,14 +252,14 @@ def scan(text: str | None, index: Index, band: int = BAND, least: float = COVERA
             continue  # within the band of a diagonal that has been aligned
         done[t] = diagonal
         m, first, stop = align(index.numbers[t], numbers, diagonal, band)
-        if m >= least * len(index.numbers[t]):
+        if m >= least * len(index.numbers[t]) and all(p in phrased(words[first:stop]) for p in index.telling[t]):
             places.append((-m / len(index.numbers[t]), -m, index.items[t][0], first, stop))
     found: dict[str, tuple] = {}
     taken: list[tuple] = []
     for share, m, name, first, stop in sorted(places):  # words that a template covers better aren't another's
-        if any(first < b and a < stop and other < share for a, b, other in taken):
+        if any(first < b and a < stop and other < (share, m) for a, b, other in taken):
             continue
-        taken.append((first, stop, share))
+        taken.append((first, stop, (share, m)))
         best, most, spans = found.get(name, (0.0, 0, []))
         found[name] = (max(best, -share), max(most, -m), [*spans, (first, stop)])
     if not found:
@@ -199,7 +280,7 @@ def scan(text: str | None, index: Index, band: int = BAND, least: float = COVERA
 
 @lru_cache(maxsize=1)
 def standard_index() -> Index:
-    return Index(TEMPLATES)
+    return Index(TEMPLATES, telling=TELLING)
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict | None = None, band: int = BAND, least: float = COVERAGE) -> DataFrame:

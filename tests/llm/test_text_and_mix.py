@@ -200,6 +200,34 @@ def test_preferences(spark):
 # Licenses
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["AGPL-3.0"]),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["LGPL-3.0"]),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1"]),
+        ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General\n# Public License as published by the Free Software Foundation, either version\n# 3 of the License, or (at your option) any later version.", ["GPL-3.0"]),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        ("Licensed under the Apache License 2.0.", ["Apache-2.0"]),
+        ("Released under the BSD License.", []),
+        ("Licensed under CC BY 3.0.", []),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", ["EPL-2.0"]),
+        ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', ["MIT"]),
+    ],
+)
+def test_licenses_and_their_kin(text, want):
+    assert [name for name, *_ in licenses.scan(f"Some words. {text} More words.", licenses.standard_index())] == want
+
+
+def test_each_template_is_found_as_its_own():
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert (name, 1.0) in [r[:2] for r in licenses.scan(text, licenses.standard_index())], text
+
+
 def test_licenses(spark, odd, empty):
     mit = licenses.TEMPLATES["MIT"][2]
     texts = ["plain text", f"before {mit.upper()} after", mit.replace("free of charge", "free of any charge").replace("publish, ", ""), "This work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License.", "Released under the MIT License. words Released under the MIT license", "licensed under the Apache", "é Licensed under CC BY-NC 4.0."]
