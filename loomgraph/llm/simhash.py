@@ -6,10 +6,12 @@ as differing bits are at least the difference of counts. A pair of tiles is comp
 counts, and sends on a spanning forest of its links, so a group of k near copies gives about k links and not k squared;
 no link is lost for reachability. Links then become components.
 
-The 64 bits say too little for a given similarity of shingle sets. ``keep_one`` takes such a similarity, so there
-repeated shingles count once and fingerprints go on for seven more words, each from the shingle hashes mixed anew. Tiles still meet by the first word,
-within a wide radius; a link then needs the differing bits of all 512 to be within what the similarity amounts to
-(sets of Jaccard similarity j lie at an angle of arccos(2j / (1 + j)), and a bit differs by angle / pi).
+The 64 bits say too little for a given similarity of shingle sets, so ``keep_one`` takes longer fingerprints: repeated
+shingles count once, and 63 more words follow, each from the shingle hashes mixed anew. Sets of Jaccard similarity j lie
+at an angle of arccos(2j / (1 + j)), and a bit differs by angle / pi. Tiles meet by the first word, within a wide radius,
+and by the first eight, within three standard errors of what the similarity amounts to: that loses almost no link and
+leaves groups far too wide. Each group is then compared in tiles of its own by all 4,096 bits, which tell similarities
+apart to about 0.013; links get half a standard error of slack. Neither step gathers a group in one task.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; rows with a null identifier get a
 fingerprint and their component, whose identifier is the smallest that isn't null (null if there is none); repeated
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import spread, staged
 from .components import roots
 
 SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 1 << 16
-SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, WORDS = 0.8, 5, 18, 8
+SIMILARITY, WIDE_SHINGLE, WIDE_RADIUS, FIRST, WORDS, GROUP_TILE = 0.8, 5, 18, 8, 64, 1 << 13
 _S = 1 << 40  # a tile's number: its population count times this, plus its place
 
 
@@ -46,47 +48,48 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[k - 1 :])], np.uint64)
 
 
-def _majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+def _majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Majority bits of the hashes, and of what splitmix64 makes of them in ``words - 1`` more steps, as signed words."""
+    ones = np.zeros(64 * words, np.int64)
+    step = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):  # so many that a byte holds the count
+        part = hashes[at : at + 255, None] + step
+        if words > 1:
+            mixed = part[:, 1:]
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            part[:, 1:] = mixed ^ (mixed >> np.uint64(31))
+        bits = np.unpackbits(part.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    return _majority(shingle_hashes(text, k))
+    return int(_majority(shingle_hashes(text, k))[0])
 
 
-def wide_fingerprint(text: str | None, k: int = WIDE_SHINGLE, words: int = WORDS) -> list[int]:
-    """The fingerprint, and more words from the same hashes mixed anew (each step is one of splitmix64)."""
+def wide_fingerprint(text: str | None, k: int = WIDE_SHINGLE, words: int = WORDS) -> np.ndarray:
+    """All words of the fingerprint; of more than one, a shingle counts once, however often it stands."""
     hashes = shingle_hashes(text, k)
-    if words > 1:  # a similarity of sets: a shingle counts once, however often it stands
-        hashes = np.unique(hashes)
-    out = [_majority(hashes)]
-    for _ in range(words - 1):
-        hashes = hashes + np.uint64(0x9E3779B97F4A7C15)
-        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        hashes = hashes ^ (hashes >> np.uint64(31))
-        out.append(_majority(hashes))
-    return out
+    return _majority(np.unique(hashes) if words > 1 else hashes, words)
 
 
-def differing_bits(similarity: float, words: int = WORDS) -> int:
-    """The most bits that fingerprints of sets of this Jaccard similarity should differ by."""
-    return int(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def differing_bits(similarity: float, words: int = WORDS, errors: float = 0.0) -> int:
+    """The bits by which fingerprints of sets of this Jaccard similarity differ, and so many standard errors more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * words * share + errors * np.sqrt(64 * words * share * (1 - share)))
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, words: int = 1) -> DataFrame:
-    """_id, _fp (the first word), _wide (all words) of each row."""
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_fp", T.LongType()), T.StructField("_wide", T.ArrayType(T.LongType()))])
+    """_id, _fp (the first word), _wide (all words) and _key (128 bits that stand for all words) of each row."""
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_fp", T.LongType()), T.StructField("_wide", T.ArrayType(T.LongType())), T.StructField("_key", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             made = [wide_fingerprint(t.as_py(), k, words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["_id", "_fp", "_wide"])
+            keys = [xxhash.xxh3_128_digest(m.tobytes()) for m in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(m[0]) for m in made], pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array(keys, pa.binary())], ["_id", "_fp", "_wide", "_key"])
 
     return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
@@ -100,13 +103,15 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, most: int
     own = a if b is None else np.concatenate([a, b])
     other, shift = (a, 0) if b is None else (b, len(a))
     label = np.arange(len(own))
-    block = block or max(1, (1 << 19) // max(1, len(other)))  # comparisons at once, so that they stay in a core's cache
+    block = block or max(1, (1 << 22) // max(8, own.shape[1]) // max(1, len(other)))  # comparisons at once, so that they stay in a core's cache
     for at in range(0, len(a), block):
         near = np.bitwise_count(a[at : at + block, 0, None] ^ other[None, :, 0]) <= radius
         if b is None:
             near[np.arange(len(near)), np.arange(at, at + len(near))] = False
         row, col = np.nonzero(near)
         if most is not None and len(row):
+            apart = label[at + row] != label[col + shift]  # what is connected already needs no look
+            row, col = row[apart], col[apart]
             fits = np.bitwise_count(a[at + row] ^ other[col]).sum(axis=1) <= most
             row, col = row[fits], col[fits]
         for r, members in zip(*_grouped(row, col), strict=True):
@@ -132,7 +137,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, most: int
     number = F.array(*(F.lit(max(1, n)).cast("long") for n in tiles_of))
     has = F.array(*(F.lit(n).cast("long") for n in tiles_of))
     place = F.pmod(F.xxhash64("_wide"), F.element_at(number, ones + 1))
-    tiles = staged(distinct.groupBy((ones.cast("long") * _S + place).alias("t")).agg(F.flatten(F.collect_list("_wide")).alias("x")), "tiles")
+    tiles = staged(distinct.groupBy((ones.cast("long") * _S + place).alias("t")).agg(F.flatten(F.collect_list("_wide")).alias("x"), F.first(F.size("_wide")).alias("width")), "tiles")
     count = F.expr(f"cast(t div {_S} as int)")
 
     def meetings(d):
@@ -143,17 +148,23 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, most: int
         return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), pair)).otherwise(F.array().cast("array<struct<ta:bigint,tb:bigint,second:boolean>>"))
 
     meets = F.flatten(F.transform(F.sequence(F.lit(-radius), F.lit(radius)), meetings))
-    rows = tiles.select(F.explode(meets).alias("m"), "x").select("m.ta", "m.tb", "m.second", "x")
+    rows = tiles.select(F.explode(meets).alias("m"), "x", "width").select("m.ta", "m.tb", "m.second", "x", "width")
     met = sum(tiles_of[p] * (tiles_of[p] + 1) // 2 + tiles_of[p] * sum(tiles_of[p + 1 : p + 1 + radius]) for p in range(65))
-    width = distinct.select(F.size("_wide")).limit(1).collect()
-    width = width[0][0] if width else 1
+    # About a pair to a partition: a task is then a comparison of bounded size, and holds two tiles.
+    return _compared(rows, ["ta", "tb"], max(1, min(met, 20_000)), radius, most)
+
+
+def _compared(rows: DataFrame, pair: list[str], partitions: int, radius: int, most: int | None) -> DataFrame:
+    """Links a, b (all words) of tiles ``x`` that meet: rows of ``pair``, whose last two columns number the tiles, and ``second``."""
+    columns = [*pair, "second", "x", "width"]
+    at = {c: columns.index(c) for c in columns}
 
     def run(batches):
         kind = pa.list_(pa.int64())
         first = None
         for batch in batches:
-            for ta, tb, second, x in zip(*(batch.column(c) for c in range(4)), strict=True):
-                tile_ = x.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
+            for ta, tb, second, x, width in zip(*(batch.column(at[c]) for c in (*pair[-2:], "second", "x", "width")), strict=True):
+                tile_ = x.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width.as_py())
                 if second.as_py():
                     own, found = np.concatenate([first, tile_]), forest(first, tile_, radius, most)
                 elif ta.as_py() == tb.as_py():
@@ -164,44 +175,70 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, most: int
                 own = own.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([own[i] for i, _ in found], kind), pa.array([own[j] for _, j in found], kind)], ["a", "b"])
 
-    # About a pair to a partition: a task is then a comparison of bounded size, and holds two tiles.
-    dealt = rows.repartition(max(1, min(met, 20_000)), "ta", "tb").sortWithinPartitions("ta", "tb", "second")
+    dealt = rows.select(*columns).repartition(partitions, *pair).sortWithinPartitions(*pair, "second")
     return dealt.mapInArrow(run, "a array<long>, b array<long>")
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, radius: int, k: int, tile: int, words: int = 1, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(_id, _fp, _wide) of each row, and _wide, component_id for each distinct fingerprint."""
-    rows = staged(fingerprints(df, id_col, text_col, k, words), "fingerprints")
-    distinct = staged(rows.groupBy("_fp", "_wide").agg(F.min("_id").alias("_least")), "distinct")
-    up = roots(links(distinct, radius, tile, most), "a", "b")
-    rooted = distinct.join(up.withColumnsRenamed({"u": "_wide", "v": "_root"}), "_wide", "left").withColumn("_root", F.coalesce("_root", "_wide"))
-    names = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return rows, rooted.join(names, "_root").select("_wide", "component_id", "_root")
+def grouped_links(distinct: DataFrame, wide: DataFrame, group: str, radius: int, most: int, tile: int = GROUP_TILE) -> DataFrame:
+    """Links a, b (keys) within groups, given _key and group, and _key and _wide: each group is dealt into tiles of its own, and every two of them meet."""
+    # Written first, so that Spark can split a hot group in the join; the explicit exchange then deals it by tile.
+    sizes = staged(distinct.groupBy(group).agg(F.count("*").alias("_n")).filter("_n > 1").select(group, F.ceil(F.col("_n") / tile).alias("_tiles")), "group-sizes")
+    dealt = distinct.join(sizes, group).withColumn("t", F.pmod(F.xxhash64("_key"), "_tiles")).join(wide, "_key").repartition(group, "t")
+    tiles = staged(dealt.groupBy(group, "t", "_tiles").agg(F.flatten(F.collect_list("_wide")).alias("x"), F.first(F.size("_wide")).alias("width")), "group-tiles")
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1), lambda o: F.struct(F.least("t", o).alias("ta"), F.greatest("t", o).alias("tb"), (o < F.col("t")).alias("second")))
+    rows = tiles.select(group, "x", "width", F.explode(meets).alias("m")).select(group, "x", "width", "m.ta", "m.tb", "m.second")
+    found = _compared(rows, [group, "ta", "tb"], spread(distinct), radius, most)
+
+    def keyed(batches):
+        for batch in batches:
+            cols = [pa.array([xxhash.xxh3_128_digest(w.values.to_numpy(zero_copy_only=False).tobytes()) for w in c], pa.binary()) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
+
+    return found.mapInArrow(keyed, "a binary, b binary")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """One row per input row: id_col, fingerprint (16 hex digits), component_id."""
-    rows, classes = _classes(df, id_col, text_col, radius, k, tile)
+    rows = staged(fingerprints(df, id_col, text_col, k).drop("_key"), "fingerprints")
+    distinct = staged(rows.groupBy("_fp", "_wide").agg(F.min("_id").alias("_least")), "distinct")
+    up = roots(links(distinct, radius, tile), "a", "b")
+    rooted = distinct.join(up.withColumnsRenamed({"u": "_wide", "v": "_root"}), "_wide", "left").withColumn("_root", F.coalesce("_root", "_wide"))
+    names = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    classes = rooted.join(names, "_root").select("_wide", "component_id")
     return rows.join(classes, "_wide").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, k: int = WIDE_SHINGLE, words: int = WORDS, tile: int = TILE) -> DataFrame:
+def near_groups(rows: DataFrame, similarity: float, radius: int, first: int, words: int, tile: int, group_tile: int) -> DataFrame:
+    """_key, _least, _root of each distinct fingerprint: texts of one root are linked by similarity."""
+    distinct = staged(rows.groupBy("_key").agg(F.min("_id").alias("_least"), F.first("_fp").alias("_fp"), F.first("_wide").alias("_wide")), "distinct")
+    cut = F.slice("_wide", 1, first)
+    wide = roots(links(distinct.select("_fp", cut.alias("_wide")).distinct(), radius, tile, differing_bits(similarity, first, 3.0)), "a", "b")
+    grouped = distinct.withColumn("_cut", cut).join(wide.withColumnsRenamed({"u": "_cut", "v": "_group"}), "_cut", "left")
+    grouped = staged(grouped.select("_key", F.xxhash64(F.coalesce("_group", "_cut")).alias("_group")), "near-groups")
+    up = roots(grouped_links(grouped, distinct.select("_key", "_wide"), "_group", radius, differing_bits(similarity, words, 0.5), group_tile), "a", "b")
+    return distinct.select("_key", "_least").join(up.withColumnsRenamed({"u": "_key", "v": "_root"}), "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, k: int = WIDE_SHINGLE, first: int = FIRST, words: int = WORDS, tile: int = TILE, group_tile: int = GROUP_TILE) -> DataFrame:
     """The rows that stay, one of each component of texts that similarity links: that with the smallest identifier.
 
     Of rows that share that identifier, or of a component in which no row has one, the row of the smallest text stays.
     """
-    rows, classes = _classes(df, id_col, text_col, radius, k, tile, words, differing_bits(similarity, words))
-    kept = staged(rows.join(classes, "_wide").filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct(), "kept")
+    rows = staged(fingerprints(df, id_col, text_col, k, words), "fingerprints")
+    rooted = staged(near_groups(rows, similarity, radius, first, words, tile, group_tile), "near-roots")
+    names = staged(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")), "kept")
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     # A merge join at every size: what stays grows with the input, so it is never broadcast.
-    out = df.join(kept.select(F.col("_id").alias(id_col)).distinct().hint("merge"), id_col, "left_semi")
+    kept = names.filter("component_id is not null").select(F.col("component_id").alias(id_col)).distinct()
+    out = df.join(kept.hint("merge"), id_col, "left_semi")
     # What follows is needed only where identifiers repeat or are missing.
     if rows.filter("_id is not null").groupBy("_id").count().filter("count > 1").limit(1).count():
         order = Window.partitionBy(ident).orderBy(text)
         out = out.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-    if kept.filter("_id is null").limit(1).count():
+    if names.filter("component_id is null").limit(1).count():
         nameless = df.filter(ident.isNull()).select(text.alias("_t"), text.alias("_u"))
-        own = fingerprints(nameless, "_t", "_u", k, words).join(classes.filter("component_id is null"), "_wide").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNotNull(), "_id"))["_id"].alias("_t"))
+        lone = rooted.join(names.filter("component_id is null").select("_root"), "_root", "left_semi").select("_key", "_root")
+        own = fingerprints(nameless, "_t", "_u", k, words).join(lone, "_key").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNotNull(), "_id"))["_id"].alias("_t"))
         picked = df.filter(ident.isNull()).join(own.select("_t").distinct(), text.eqNullSafe(F.col("_t")), "left_semi")
         order = Window.partitionBy(text).orderBy(F.lit(0))
         out = out.unionByName(picked.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n"))

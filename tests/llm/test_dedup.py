@@ -172,20 +172,65 @@ def test_a_repeated_line_does_not_make_near_copies(spark):
 
 def test_similarity_as_bits():
     assert simhash.differing_bits(1.0, 8) == 0 and 70 < simhash.differing_bits(0.8, 8) < 85 and simhash.differing_bits(0.0, 8) == 256
+    assert simhash.differing_bits(0.8, 8) < simhash.differing_bits(0.8, 8, 3.0) < simhash.differing_bits(0.6, 8)
 
 
-def test_wide_fingerprints_link_a_similarity_of_085():
-    """The fingerprints that the pipeline uses; 150 pairs of sets of similarity 0.849."""
-    rnd, linked = random.Random(31), 0
+def test_wide_fingerprint_against_brute_force():
+    mask = (1 << 64) - 1
+
+    def mixed(h, step):
+        z = (h + step * 0x9E3779B97F4A7C15) & mask
+        z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & mask
+        return z ^ z >> 31
+
+    for n in (0, 1, 4, 5, 60, 700):
+        text = word_soup(random.Random(n), n)
+        words = text.lower().split()
+        hashes = sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))}) if words else []
+        want = [[h if w == 0 else mixed(h, w) for h in hashes] for w in range(3)]
+        want = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in want]
+        assert simhash.wide_fingerprint(text, words=3).view(np.uint64).tolist() == want
+
+
+def pairs_of_similarity(rnd, changed, n, count):
+    """Texts of different words, a word changed at so many places: n - 4 shingles, 5 of them gone with each."""
     word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
-    for _ in range(150):
-        one = [word() for _ in range(310)]
+    for _ in range(count):
+        one = [word() for _ in range(n)]
         two = one.copy()
-        for j in range(5):
-            two[20 + 30 * j] = word()
-        a, b = (np.array([simhash.wide_fingerprint(" ".join(x))]).view(np.uint64) for x in (one, two))
-        linked += bool(simhash.forest(a, b, simhash.WIDE_RADIUS, simhash.differing_bits(simhash.SIMILARITY)))
-    assert linked >= 135
+        for j in range(changed):
+            two[10 + (n - 20) // changed * j] = word()
+        yield " ".join(one), " ".join(two)
+
+
+@pytest.mark.parametrize(("changed", "n", "least", "most"), [(5, 310, 0.99, 1), (6, 300, 0.9, 1), (9, 300, 0, 0.1)])
+def test_links_follow_the_similarity(changed, n, least, most):
+    """Similarities of 0.849, 0.816 and 0.736 by the rules of near dedup: both the wide step and the narrow one."""
+    linked = 0
+    for x, y in pairs_of_similarity(random.Random(31), changed, n, 200):
+        a, b = (simhash.wide_fingerprint(t).view(np.uint64)[None, :] for t in (x, y))
+        first = simhash.forest(a[:, : simhash.FIRST], b[:, : simhash.FIRST], simhash.WIDE_RADIUS, simhash.differing_bits(0.8, simhash.FIRST, 3.0))
+        linked += bool(first) and bool(simhash.forest(a, b, simhash.WIDE_RADIUS, simhash.differing_bits(0.8, simhash.WORDS, 0.5)))
+    assert least <= linked / 200 <= most
+
+
+@pytest.mark.parametrize("group_tile", [simhash.GROUP_TILE, 2])
+def test_groups_follow_links_not_the_wide_step(spark, group_tile):
+    """A center with variants that are near copies of it, not of each other, and pairs that only the wide step links."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    base = [word() for _ in range(300)]
+    texts = []
+    for k in range(6):  # each 0.87 like the center, 0.76 like one another
+        one = base.copy()
+        for j in range(4):
+            one[8 + 45 * j + 6 * k] = word()
+        texts.append(" ".join(one))
+    texts.append(" ".join(base))
+    texts += [t for pair in pairs_of_similarity(rnd, 9, 300, 3) for t in pair]
+    df = spark.createDataFrame([(i, t, None, None, None, *"cccccc") for i, t in enumerate(texts)], KIND)
+    assert sorted(r[0] for r in simhash.keep_one(df, group_tile=group_tile).collect()) == [0, *range(7, 13)]
 
 
 def test_roots(spark):
