@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 
 from helpers import rows
 from llm_cases import KIND, odd_rows, word_soup
-from loomgraph.llm import fertility, ordinal
+from loomgraph.llm import fertility, ordinal, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -96,6 +97,57 @@ def test_ordinal_learns_held_out_grades():
     assert np.mean(np.abs(np.round(expected) - truth) == 0) > 0.9
 
 
+def test_likelihood_and_gradient_against_brute_force():
+    rnd = np.random.default_rng(4)
+    y, wide = rnd.integers(0, 4, 30), 7
+    row, index = np.repeat(np.arange(30), 3), rnd.integers(0, wide, 90)
+    value, theta = rnd.normal(size=90), rnd.normal(size=wide + 3)
+
+    def brute(theta):
+        t = [theta[wide]]
+        for raw in theta[wide + 1 :]:
+            t.append(t[-1] + math.log(1 + math.exp(raw)))
+        total = 0.0
+        for k in range(30):
+            s = sum(theta[i] * v for i, v, r in zip(index, value, row) if r == k)
+            tail = [1.0, *(1 / (1 + math.exp(x - s)) for x in t), 0.0]
+            total -= math.log(tail[y[k]] - tail[y[k] + 1])
+        return (total + sum(w * w for w in theta[:wide]) / (2 * 0.3**2)) / 30
+
+    loss, grad = ordinal.likelihood(theta, index, value, row, y, wide, 0.3)
+    assert math.isclose(loss, brute(theta), rel_tol=1e-9)
+    for k in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        assert math.isclose(grad[k], (brute(theta + step) - brute(theta - step)) / 2e-5, rel_tol=1e-4, abs_tol=1e-7)
+
+
+def auc(worse, better):
+    return sum((b > a) + (b == a) / 2 for a in worse for b in better) / len(worse) / len(better)
+
+
+def test_few_labels_tell_grades_apart(spark):
+    """399 labels of the 0.01 tables; held out: labelled texts of the 0.1 tables that are others."""
+    def labelled(sf):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        return docs, queries.grades(labels), docs.join(queries.grades(labels), "doc_id").select("text", "grade").collect()
+
+    docs, labels, own = labelled("sf0.01")
+    model = ordinal.train(docs, labels)
+    known = {r["text"] for r in own}
+    held = [(r["grade"], *ordinal.features(r["text"])) for r in labelled("sf0.1")[2] if r["text"] not in known][:1500]
+    scores = {g: [float((model.weights[i] * v).sum()) for grade, i, v in held if grade == g] for g in (1, 2)}
+    assert auc(scores[1], scores[2]) > 0.9
+
+
+def test_repeated_identifiers_give_one_row_each(spark):
+    texts = [(1, "bad words !!"), (1, "a bad"), (1, None), (2, "fine"), (3, "fine too")] * 3
+    df = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, grade int")
+    once = spark.createDataFrame([(1, "a bad"), (2, "fine"), (3, "fine too")], "doc_id long, text string")
+    assert np.allclose(ordinal.train(df, labels).weights, ordinal.train(once, labels).weights)
+
+
 def test_ordinal_on_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1), (6, 2), (7, 0), (None, 1), (8, None), (99999, 1)], "doc_id long, grade int")
     model = ordinal.train(odd, labels)
