@@ -1,10 +1,15 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Sources share a total by weight; a target stops at ``cap`` times its source's size and the excess is reshared by weight
-until none is above. A source first gives complete epochs; the fraction that is left is filled by documents in order of
-their exponential keys -ln(u) / quality, u being a hash of identifier and seed, so likelier documents come first without
-replacement. The prefix sum that ends at the budget is found in two levels: sizes by (source, key bucket) first, then
-only the one bucket of each source in which the budget ends is sorted, so no source is ever gathered in one task.
+until none is above, each time by sums over three classes of weight. A source first gives complete epochs; the fraction
+that is left is filled by documents in order of their exponential keys -ln(u) / quality, u being a hash of identifier
+and seed, so likelier documents come first without replacement.
+
+Keys are kept as whole numbers in order of size (logarithms to 44 bits), and the prefix sum that ends at the budget is
+found from the top: sizes by the leading bits of the key, then, inside the one bucket in which the budget ends, by six
+bits more, until it has at most ``window`` rows. Only those, and as many that follow, are put in order, so no task ever
+holds a source, however large. Where the next document doesn't fit what is left of the budget, later ones of the window
+that do are taken (``extras`` at most); last, one that overshoots is, if that comes nearer to the target.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
 taken as often as there are complete epochs and count nothing; a null identifier hashes like the text's size alone;
@@ -16,13 +21,16 @@ and carried unchanged by ``mixed``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, word_count
+from .common import spread, staged, word_count
 
-WEIGHTS, SHARE, CAP, SEED, BUCKETS = (3.0, 1.0, 2.0), 1.5, 2.0, 20, 64
+WEIGHTS, SHARE, CAP, SEED, WINDOW, EXTRAS = (3.0, 1.0, 2.0), 1.5, 2.0, 20, 4096, 64
+#: Bits of a key below a whole unit of its logarithm; by how many of them a first bucket is wide, and a finer one less.
+_FINE, _WIDE, _STEP = 44, 38, 6
 
 
 def quality(text: str, size: Column) -> Column:
@@ -39,73 +47,126 @@ def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, quality_c
 
 
 def _key(identifier: Column, size: Column, weight: Column, seed: int) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(identifier.cast("string"), F.concat(F.lit("size "), size.cast("string")))), 11)
-    return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / weight
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(identifier.cast("string"), F.concat(F.lit("size "), size.cast("string")))), 12)
+    return F.floor(F.log(-F.log((bits.cast("double") + 0.5) / float(1 << 52)) / weight) * float(1 << _FINE))
+
+
+def _numbered(sources: DataFrame) -> DataFrame:
+    """Add _place: the source's place from 0 in order of code points, null last. Ranges are sorted each on its own."""
+    dealt = staged(sources.repartitionByRange(spread(sources, 1), F.asc_nulls_last("_source")).withColumn("_part", F.spark_partition_id()), "mix-sources")
+    sizes = dict(dealt.groupBy("_part").count().collect())  # as many rows as partitions
+    before = [sum(n for q, n in sizes.items() if q < p) for p in range(max(sizes, default=0) + 1)]
+    own = Window.partitionBy("_part").orderBy(F.asc_nulls_last("_source"))
+    return dealt.withColumn("_place", F.row_number().over(own) - 1 + F.element_at(F.array(*map(F.lit, before)), F.col("_part") + 1)).drop("_part")
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Add _target to a table of _source and _total, one row for each source.
-
-    Filling by weight up to caps has a closed form: with sources in order of cap / weight, the first ones are at their
-    cap, the rest share what remains in proportion to weight.
-    """
-    w = F.array(*(F.lit(float(x)) for x in weights))
-    order = Window.orderBy(F.asc_nulls_last("_source"))
-    ranked = sources.withColumn("_w", F.element_at(w, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))).withColumn("_cap", F.col("_total") * cap)
-    by_ratio = Window.orderBy(F.col("_cap") / F.col("_w"), F.asc_nulls_last("_source"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    filled = ranked.withColumn("_left", share * F.sum("_total").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))).withColumn("_rest", F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    # Water stands at the level of the first source, in this order, that stays below its cap.
-    filled = filled.withColumn("_at", F.row_number().over(by_ratio))
-    found = F.when(F.col("_left") / F.col("_rest") < F.col("_cap") / F.col("_w"), F.struct(F.col("_at").alias("at"), (F.col("_left") / F.col("_rest")).alias("level")))
-    level = F.min(found).over(everything)["level"]
-    return filled.withColumn("_level", level).withColumn("_target", F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_level") * F.col("_w")))).select("_source", "_total", "_target")
-
-
-def _cutoffs(rows: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
-    """For each source: _total, _target, _epochs, the bucket in which the fraction ends (null: there is none), and
-    the last (_cut_key, _cut_id) taken from it (null: all before that bucket, nothing from it)."""
-    bucket = F.floor(F.log("_key") * BUCKETS)
-    sums = staged(rows.groupBy("_source", bucket.alias("_bucket")).agg(F.sum("_size").alias("_words")), "mix-sums")
+    """Add _target to a table of _source and _total, one row for each source."""
+    kind = (F.col("_place") % len(weights)).cast("int")
+    rows = _numbered(sources).withColumn("_kind", kind).withColumn("_w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), kind + 1))
+    full, level, n = F.lit(False), 0.0, -1
+    while True:
+        # Whole numbers for each class of weight, so the order of rows changes nothing.
+        sums = rows.groupBy("_kind").agg(F.sum("_total").alias("all"), F.sum(F.when(full, F.col("_total")).otherwise(0)).alias("full"), F.count(F.when(full, 1)).alias("n"), F.count(F.when(~full, 1)).alias("open")).collect()  # a row for each weight
+        now, open_ = sum(r["n"] for r in sums), sum(weights[r["_kind"]] * r["open"] for r in sums)
+        if now == n or not open_:
+            return rows.select("_source", "_total", F.when(full, F.col("_total") * cap).otherwise(F.col("_w") * level).alias("_target"))
+        n, level = now, (share * sum(r["all"] for r in sums) - cap * sum(r["full"] for r in sums)) / open_
+        full = F.col("_total") * cap <= F.col("_w") * level
+
+
+def _located(sums: DataFrame, shift: int, window: int) -> DataFrame:
+    """Of sums by bucket (_source, _bucket, _words, _rows, _start, _budget): the one of each source in which its budget
+    ends, the last one that a window from there holds, and what comes before."""
+    run = Window.partitionBy("_source").orderBy("_bucket")
+    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = sums.withColumn("_before", F.col("_start") + F.sum("_words").over(upto) - F.col("_words")).withColumn("_seen", F.sum("_rows").over(upto))
+    hit = (F.col("_before") <= F.col("_budget")) & (F.col("_budget") < F.col("_before") + F.col("_words"))
+    whole = Window.partitionBy("_source")
+    ends = ends.withColumn("_from", F.max(F.when(hit, F.struct("_bucket", "_before", "_rows", "_seen"))).over(whole)).filter((F.col("_bucket") == F.col("_from._bucket")) | ((F.col("_bucket") > F.col("_from._bucket")) & (F.col("_seen") - F.col("_from._seen") + F.col("_from._rows") <= window)))
+    found = ends.groupBy("_source").agg(F.first("_from").alias("f"), F.max("_bucket").alias("_last"), F.first("_budget").alias("_budget"))
+    return found.select(F.col("_source").alias("_es"), F.col("f._bucket").alias("_first"), "_last", F.col("f._before").alias("_before"), F.col("f._rows").alias("_n"), "_budget", F.lit(shift).alias("_shift"))
+
+
+def _by_bucket(rows: DataFrame, shift: int, start: Column, budget: Column) -> DataFrame:
+    return rows.groupBy("_source", F.shiftright("_key", shift).alias("_bucket")).agg(F.sum("_size").alias("_words"), F.count("*").alias("_rows"), F.first(start).alias("_start"), F.first(budget).alias("_budget"))
+
+
+def _filled(window_rows: DataFrame, extras: int) -> DataFrame:
+    """For each source, from its window: the last key and identifier of the prefix that fits, and what is taken beyond."""
+    # Rows that tie stand together, so what is taken doesn't hang on their order.
+    tie = window_rows.groupBy("_source", "_key", "_id").agg(F.sum("_size").alias("_size"), F.first(F.col("_budget") - F.col("_before")).alias("_left"))
+    all_ = tie.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_key", "_id", "_size"))).alias("_docs"), F.first("_left").alias("_left"))
+    kind = window_rows.schema["_id"].dataType.simpleString()
+    none, many = f"cast(null as struct<_key:bigint,_id:{kind}>)", f"cast(array() as array<struct<_key:bigint,_id:{kind}>>)"
+    start = F.struct(F.col("_left").alias("left"), F.lit(True).alias("whole"), F.expr(none).alias("last"), F.expr(many).alias("more"))
+
+    def step(acc, d):
+        own, fits = F.struct(d["_key"].alias("_key"), d["_id"].alias("_id")), d["_size"] <= acc["left"]
+        later = fits & ~acc["whole"] & (F.size(acc["more"]) < extras)
+        takes = (fits & acc["whole"]) | later
+        return F.struct(F.when(takes, acc["left"] - d["_size"]).otherwise(acc["left"]).alias("left"), (acc["whole"] & fits).alias("whole"), F.when(acc["whole"] & fits, own).otherwise(acc["last"]).alias("last"), F.when(later, F.concat(acc["more"], F.array(own))).otherwise(acc["more"]).alias("more"))
+
+    done = all_.withColumn("_f", F.aggregate("_docs", start, step))
+    beyond = lambda d: F.col("_f.last").isNull() | (F.struct(d["_key"], d["_id"]) > F.struct(F.col("_f.last._key"), F.col("_f.last._id")))
+    left = F.filter("_docs", lambda d: beyond(d) & (d["_size"] > 0) & ~F.exists(F.col("_f.more"), lambda e: (e["_key"] == d["_key"]) & e["_id"].eqNullSafe(d["_id"])))
+    least = F.array_min(F.transform(left, lambda d: F.struct(d["_size"].alias("_size"), d["_key"].alias("_key"), d["_id"].alias("_id"))))
+    done = done.withColumn("_least", least)
+    over = F.col("_least._size") - F.col("_f.left") < F.col("_f.left")
+    more = F.when(over, F.concat("_f.more", F.array(F.struct(F.col("_least._key").alias("_key"), F.col("_least._id").alias("_id"))))).otherwise(F.col("_f.more"))
+    return done.select(F.col("_source").alias("_ls"), F.col("_f.last._key").alias("_cut_key"), F.col("_f.last._id").alias("_cut_id"), more.alias("_more"))
+
+
+def _cutoffs(rows: DataFrame, weights: Sequence[float], share: float, cap: float, window: int, extras: int) -> DataFrame:
+    """For each source: _total, _target, _epochs, and where its fraction ends: the bucket (its leading bits and how many
+    others; null: there is no fraction), the last (_cut_key, _cut_id) taken from there on in order (null: none), and
+    _more, those taken after it."""
+    zero = F.lit(0).cast("long")
+    sums = staged(_by_bucket(rows, _WIDE, zero, zero).drop("_start", "_budget"), "mix-sums")
     goals = targets(sums.groupBy("_source").agg(F.sum("_words").alias("_total")), weights, share, cap)
     goals = goals.withColumn("_epochs", F.when(F.col("_total") > 0, F.floor(F.col("_target") / F.col("_total") + 1e-12)).otherwise(0)).withColumn("_budget", F.greatest(F.lit(0.0), F.col("_target") - F.col("_epochs") * F.col("_total")))
     goals = staged(goals, "mix-goals")
-    run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0))).join(goals.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")))
-    ends = ends.filter((F.col("_before") <= F.col("_budget")) & (F.col("_budget") < F.col("_before") + F.col("_words"))).select(F.col("_s").alias("_es"), F.col("_bucket").alias("_eb"), "_before", "_budget")
-    inside = rows.withColumn("_bucket", bucket).join(ends, F.col("_source").eqNullSafe(F.col("_es")) & (F.col("_bucket") == F.col("_eb")))
-    # Rows that tie stand together, so what is taken doesn't hang on their order.
-    tie = inside.groupBy("_source", "_key", "_id").agg(F.sum("_size").alias("_size"), F.first("_before").alias("_before"), F.first("_budget").alias("_budget"))
-    upto = Window.partitionBy("_source").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tie = tie.withColumn("_end", F.col("_before") + F.sum("_size").over(upto))
-    # The document across the budget is taken if that comes nearer to it.
-    near = F.col("_end") - F.col("_budget") < F.col("_budget") - (F.col("_end") - F.col("_size"))
-    last = tie.filter((F.col("_end") <= F.col("_budget")) | near).groupBy("_source").agg(F.max(F.struct("_key", "_id")).alias("_last"))
-    at = ends.select(F.col("_es"), F.col("_eb").alias("_cut_bucket"))
-    out = goals.join(last.withColumnRenamed("_source", "_ls"), F.col("_source").eqNullSafe(F.col("_ls")), "left").join(at, F.col("_source").eqNullSafe(F.col("_es")), "left")
-    return out.select("_source", "_total", "_target", "_epochs", F.col("_last._key").alias("_cut_key"), F.col("_last._id").alias("_cut_id"), "_cut_bucket")
+    budgets = goals.select(F.col("_source").alias("_s"), "_budget").filter("_budget > 0")
+    sums = sums.withColumn("_start", zero).join(budgets, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    shift, settled = _WIDE, []
+    ends = staged(_located(sums, shift, window), "mix-ends")
+    while True:
+        settled.append(ends.filter((F.col("_n") <= window) | F.lit(shift == 0)))
+        wide = ends.filter((F.col("_n") > window) & F.lit(shift > 0))
+        if not wide.limit(1).count():
+            break
+        inside = rows.join(wide, F.col("_source").eqNullSafe(F.col("_es")) & (F.shiftright("_key", shift) == F.col("_first")))
+        shift = max(0, shift - _STEP)
+        ends = staged(_located(_by_bucket(inside, shift, F.col("_before"), F.col("_budget")), shift, window), "mix-ends")
+    ends = reduce(DataFrame.unionByName, settled)
+    bucket = F.expr("shiftright(_key, _shift)")
+    inside = rows.join(ends, F.col("_source").eqNullSafe(F.col("_es")) & (bucket >= F.col("_first")) & (bucket <= F.col("_last")))
+    at = ends.select("_es", F.col("_first").alias("_cut_bucket"), "_shift")
+    out = goals.join(at, F.col("_source").eqNullSafe(F.col("_es")), "left").join(_filled(inside, extras), F.col("_source").eqNullSafe(F.col("_ls")), "left")
+    return out.select("_source", "_total", "_target", "_epochs", "_cut_key", "_cut_id", "_cut_bucket", "_shift", "_more")
 
 
 def _copies(key: Column, identifier: Column) -> Column:
     """How often a row is taken, given the columns of its source's cutoff."""
-    bucket = F.floor(F.log(key) * BUCKETS)
-    inside = F.coalesce((key < F.col("_cut_key")) | ((key == F.col("_cut_key")) & (F.coalesce(identifier < F.col("_cut_id"), identifier.isNull()) | identifier.eqNullSafe(F.col("_cut_id")))), F.lit(False))
-    return (F.col("_epochs") + F.when(F.col("_cut_bucket").isNull(), 0).when(bucket < F.col("_cut_bucket"), 1).when((bucket == F.col("_cut_bucket")) & inside, 1).otherwise(0)).cast("long")
+    bucket = F.call_function("shiftright", key, F.col("_shift"))
+    upto = (key < F.col("_cut_key")) | ((key == F.col("_cut_key")) & (F.coalesce(identifier < F.col("_cut_id"), identifier.isNull()) | identifier.eqNullSafe(F.col("_cut_id"))))
+    later = F.exists("_more", lambda e: (e["_key"] == key) & e["_id"].eqNullSafe(identifier))
+    takes = (bucket < F.col("_cut_bucket")) | F.coalesce(upto, F.lit(False)) | F.coalesce(later, F.lit(False))
+    return (F.col("_epochs") + F.when(F.col("_cut_bucket").isNotNull() & takes, 1).otherwise(0)).cast("long")
 
 
-def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, window: int = WINDOW, extras: int = EXTRAS) -> DataFrame:
     """One row per input row: id_col, source_col, size, source_size, target, copies, taken."""
     rows = staged(_sized(df, id_col, text_col, source_col, quality_col, seed), "mix-sizes")
-    cut = staged(_cutoffs(rows, weights, share, cap), "mix-cutoffs").withColumnRenamed("_source", "_cs")
+    cut = staged(_cutoffs(rows, weights, share, cap, window, extras), "mix-cutoffs").withColumnRenamed("_source", "_cs")
     out = rows.join(cut, F.col("_source").eqNullSafe(F.col("_cs"))).withColumn("copies", _copies(F.col("_key"), F.col("_id")))
     return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, window: int = WINDOW, extras: int = EXTRAS) -> DataFrame:
     """The mix itself: each row as often as it is taken, with all columns of the input."""
     rows = staged(_sized(df, id_col, text_col, source_col, quality_col, seed), "mix-sizes")
-    cut = staged(_cutoffs(rows, weights, share, cap), "mix-cutoffs").withColumnRenamed("_source", "_cs")
+    cut = staged(_cutoffs(rows, weights, share, cap, window, extras), "mix-cutoffs").withColumnRenamed("_source", "_cs")
     size = word_count(f"`{text_col}`")
     weight = F.col(f"`{quality_col}`").cast("double") if quality_col else quality(f"`{text_col}`", size)
     key = _key(F.col(f"`{id_col}`"), size, F.when(weight > 1e-6, weight).otherwise(1e-6), seed)

@@ -87,6 +87,59 @@ def test_targets(spark, seed):
     assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
 
 
+def brute_taken(keys, sizes, budget, extras=64):
+    """Documents of one source by (key, identifier): a prefix, then what fits, then the smallest if nearer."""
+    left, taken, whole, more = budget, set(), True, 0
+    order = sorted(keys, key=lambda i: (keys[i], i))
+    for i in order:
+        fits = sizes[i] <= left
+        whole = whole and fits
+        if fits and (whole or more < extras):
+            more += not whole
+            taken.add(i)
+            left -= sizes[i]
+    rest = [(sizes[i], keys[i], i) for i in order if i not in taken and sizes[i]]
+    if rest and min(rest)[0] - left < left:
+        taken.add(min(rest)[2])
+    return taken
+
+
+@pytest.mark.parametrize("window", [1, 7, 50, 100_000])
+def test_cut_of_any_fineness(spark, window):
+    """Many documents in one bucket: with a small window it is cut finer and finer; a prefix is never lost."""
+    rnd = random.Random(9)
+    data = [(i, " ".join("w" * rnd.randint(0, 30)) or None, None, "big" if i % 10 else "small", None, *"cccccc") for i in range(3000)]
+    df = spark.createDataFrame(data, KIND)
+    weight = F.lit(1.0)
+    got = mixing.plan(df.withColumn("q", weight), quality_col="q", share=0.8, window=window).collect()
+    keys = {r[0]: r[1] for r in mixing._sized(df.withColumn("q", weight), "doc_id", "text", "source", "q", mixing.SEED).select("_id", "_key").collect()}
+    for source in ("big", "small"):
+        own = [r for r in got if r["source"] == source]
+        sizes, target, total = {r["doc_id"]: r["size"] for r in own}, own[0]["target"], own[0]["source_size"]
+        epochs = int(target / total + 1e-12)
+        taken = {r["doc_id"] for r in own if r["copies"] > epochs}
+        assert abs(sum(r["taken"] for r in own) - target) <= 30
+        if window == 100_000:
+            assert taken == brute_taken({i: keys[i] for i in sizes}, sizes, target - epochs * total)
+        else:
+            left, prefix = target - epochs * total, set()
+            for i in sorted(sizes, key=lambda i: (keys[i], i)):
+                left -= sizes[i]
+                if left < 0:
+                    break
+                prefix.add(i)
+            assert prefix <= taken and len(prefix) > 10
+
+
+def test_many_sources(spark):
+    """Targets don't depend on how sources are dealt out."""
+    totals = {f"host{k:04}": (k * 37) % 211 + 1 for k in range(900)} | {None: 77}
+    df = spark.createDataFrame(list(totals.items()), "_source string, _total long").repartition(9)
+    got = {r["_source"]: r["_target"] for r in mixing.targets(df).collect()}
+    want = brute_targets(totals)
+    assert all(got[s] == pytest.approx(want[s]) for s in want) and len(got) == len(want)
+
+
 def test_plan(spark, odd, empty):
     rnd = random.Random(2)
     data = [(i, word_soup(rnd, rnd.randint(0, 60)) or None, "en", rnd.choice(["a", "b", "c", "d", None]), None, *"cccccc") for i in range(600)]
