@@ -53,12 +53,18 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this session has staged; its results must have been written before."""
+def staged_so_far() -> int:
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete what this session has staged after the first ``since`` tables, except the last ``but`` ones; what reads
+    them must have been written before."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    for name in _STAGED[since : len(_STAGED) - but]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _STAGED[since : len(_STAGED) - but]
 
 
 def spread(df: DataFrame, factor: int = 4) -> int:

@@ -44,7 +44,7 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
     turns = documents(spark, sf_dir, "conversations")
-    sides = turns.withColumn("pair_id", F.floor(F.col("conv_id") / 2)).withColumn("side", F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected"))
+    sides = turns.withColumn("pair_id", F.shiftright("conv_id", 1)).withColumn("side", F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected"))
     return preferences.format_pairs(sides)
 
 
