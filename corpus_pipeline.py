@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import bpe, exact_dedup, fertility, mixing, simhash
-from loomgraph.llm.common import documents, staged
+from loomgraph.llm.common import documents, release, staged, staged_so_far
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """Each stage's result is written; then what it read and wrote on the way is deleted."""
+    docs, before = documents(spark, sf_dir), staged_so_far()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, before, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
