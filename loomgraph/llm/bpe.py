@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trimmed
+
 VOCABULARY = "byte_bpe_50k.json"
 LEAF, WINDOW, AGREE = 16_384, 64, 2
 CACHE_WORDS = 100_000
@@ -240,7 +242,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         for batch in _batches(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int64) for x in own.encode(batch.column(1).to_pylist())], pa.list_(pa.int64()))], [id_col, "ids"])
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), schema)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -252,7 +254,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{ids_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{ids_col}`")).mapInArrow(trimmed(run), schema)
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
@@ -272,4 +274,4 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
                 pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string()),
             ], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), schema)

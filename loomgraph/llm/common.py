@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,21 @@ def spread(df: DataFrame, factor: int = 4) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), factor * spark.sparkContext.defaultParallelism)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of batches that gives a task's freed memory back to the system at its end.
+
+    Workers live on from task to task; what their allocators hold on to would add up with the executor's own memory.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def word_count(text: str):
     """Number of words of a text column; null counts as none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_REGEX)), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import squeeze, staged
+from .common import squeeze, staged, trimmed
 
 TRIE_BYTES = 64 << 20
 
@@ -175,7 +175,7 @@ def _phase(df: DataFrame, schema: T.StructType, limit: int, hashed: Callable, ra
         for rows in _owners(batches, limit, hashed, raw):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def _merged(df: DataFrame, id_col: str, text_col: str, rest: list[str], limit: int, hashed: Callable, keep_text: bool) -> DataFrame:
@@ -209,7 +209,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([content_hash(squeeze((t or "").encode())) for t in batch.column(1).to_pylist()], pa.string())], ["_id", "_sha"])
 
-    rows = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(digests, schema)
+    rows = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(digests), schema)
     joined = rows.join(owners, "_sha").withColumn("kept", F.col("_id").eqNullSafe(F.col("keep_id")))
     if owners.filter("_m > 1").limit(1).count():  # rows repeated with their identifier: one of them stays
         tied = F.col("kept") & (F.col("_m") > 1)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITESPACE
+from .common import WHITESPACE, trimmed
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -193,7 +193,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types[1:], strict=True))], schema=arrow)
 
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col else F.lit(None).cast("string")
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), lang.alias("_lang")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), lang.alias("_lang")).mapInArrow(trimmed(run), schema)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary_name: str = VOCABULARY, language_bands: dict = LANGUAGE_BANDS, script_bands: dict = SCRIPT_BANDS) -> DataFrame:
@@ -208,4 +208,4 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str | None = "lan
                 rows = measures(part.column(text_at).to_pylist(), langs, encoder, language_bands, script_bands)
                 yield part.filter(pa.array([r[6] for r in rows], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)

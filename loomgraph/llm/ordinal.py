@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trimmed
+
 BITS, MAX_ROWS, PASSES, PRIOR, LEAST_DOCS = 20, 6000, 150, 0.3, 3
 CACHE_WORDS = 200_000
 _CACHE: dict[bytes, tuple[int, int]] = {}
@@ -133,7 +135,7 @@ def train(df: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: st
 
     # A label whose identifier several rows share speaks for the smallest of their texts.
     once = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_grade").agg(F.min("_text").alias("_text"))
-    found = once.mapInArrow(run, "id string, grade int, i array<int>, v array<float>").toArrow()
+    found = once.mapInArrow(trimmed(run), "id string, grade int, i array<int>, v array<float>").toArrow()
     order = np.argsort(found.column("id").to_numpy(zero_copy_only=False).astype(str), kind="stable")
     rows = [(np.asarray(found.column("i")[k].values, dtype=np.int64), np.asarray(found.column("v")[k].values, dtype=float)) for k in order.tolist()]
     return fit(rows, [found.column("grade")[k].as_py() for k in order.tolist()], bits)
@@ -153,4 +155,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             chance = tails[:, tail - 1] if len(thresholds) >= tail else np.full(len(values), float(tail <= 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(chance), pa.array(chance >= least)], [id_col, "expected_grade", "tail_probability", "kept"])
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spread, staged
+from .common import spread, staged, trimmed
 from .components import roots
 
 SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 1 << 16
@@ -91,7 +91,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, wo
             keys = [xxhash.xxh3_128_digest(m.tobytes()) for m in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(m[0]) for m in made], pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array(keys, pa.binary())], ["_id", "_fp", "_wide", "_key"])
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, most: int | None = None, block: int | None = None) -> list[tuple[int, int]]:
@@ -176,7 +176,7 @@ def _compared(rows: DataFrame, pair: list[str], partitions: int, radius: int, mo
                 yield pa.RecordBatch.from_arrays([pa.array([own[i] for i, _ in found], kind), pa.array([own[j] for _, j in found], kind)], ["a", "b"])
 
     dealt = rows.select(*columns).repartition(partitions, *pair).sortWithinPartitions(*pair, "second")
-    return dealt.mapInArrow(run, "a array<long>, b array<long>")
+    return dealt.mapInArrow(trimmed(run), "a array<long>, b array<long>")
 
 
 def grouped_links(distinct: DataFrame, wide: DataFrame, group: str, radius: int, most: int, tile: int = GROUP_TILE) -> DataFrame:
@@ -194,7 +194,7 @@ def grouped_links(distinct: DataFrame, wide: DataFrame, group: str, radius: int,
             cols = [pa.array([xxhash.xxh3_128_digest(w.values.to_numpy(zero_copy_only=False).tobytes()) for w in c], pa.binary()) for c in batch.columns]
             yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
 
-    return found.mapInArrow(keyed, "a binary, b binary")
+    return found.mapInArrow(trimmed(keyed), "a binary, b binary")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE, tile: int = TILE) -> DataFrame:

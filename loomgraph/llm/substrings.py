@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spread, staged
+from .common import spread, staged, trimmed
 
 LENGTH, GRAM, RUN, PIECE_BYTES, GROUP_BYTES = 400, 48, 512, 2 << 20, 4 << 20
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -223,7 +223,7 @@ def _found_items(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 content = np.array([xxhash.xxh3_64_intdigest(texts[k][a : b + length]) for k, a, b in zip(own.tolist(), first.tolist(), last.tolist(), strict=True)], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(twice)], ["_id", "_h", "_a", "_b", "_m", "_c", "_r"])
 
-    return docs.mapInArrow(run, _schema(_kind(docs), "_h long, _a int, _b int, _m long, _c long, _r boolean"))
+    return docs.mapInArrow(trimmed(run), _schema(_kind(docs), "_h long, _a int, _b int, _m long, _c long, _r boolean"))
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 n = len(found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * n)), batch.column(1).take(pa.array([k] * n)), pa.array([i["_a"] for i in found], pa.int32()), pa.array([i["_m"] for i in found], pa.int64()), pa.array([i["_one"] for i in found], pa.bool_()), pa.array([text[i["_a"] : i["_b"] + length] for i in found], pa.binary())], ["_id", "_h", "_a", "_m", "_one", "_bytes"])
 
-    return joined.mapInArrow(run, _schema(_kind(docs), "_h long, _a int, _m long, _one boolean, _bytes binary"))
+    return joined.mapInArrow(trimmed(run), _schema(_kind(docs), "_h long, _a int, _m long, _one boolean, _bytes binary"))
 
 
 def _transformed(contents: DataFrame, length: int, piece: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _transformed(contents: DataFrame, length: int, piece: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["_id", "_h", "_a", "_b"])
 
     dealt = contents.repartition(spread(contents), "_m").sortWithinPartitions("_m")
-    return dealt.mapInArrow(run, _schema(_kind(contents), "_h long, _a int, _b int"))
+    return dealt.mapInArrow(trimmed(run), _schema(_kind(contents), "_h long, _a int, _b int"))
 
 
 def _counted(contents: DataFrame, length: int) -> DataFrame:
@@ -286,7 +286,7 @@ def _counted(contents: DataFrame, length: int) -> DataFrame:
                 same = pa.array([k] * n)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in (0, 1)), pa.array(range(a, a + n), pa.int32()), *(batch.column(c).take(same) for c in (3, 4)), pa.array(digests, pa.binary())], ["_id", "_h", "_a", "_m", "_one", "_d"])
 
-    windows = contents.mapInArrow(run, _schema(_kind(contents), "_h long, _a int, _m long, _one boolean, _d binary"))
+    windows = contents.mapInArrow(trimmed(run), _schema(_kind(contents), "_h long, _a int, _m long, _one boolean, _d binary"))
     several = windows.groupBy("_m", "_d").count().filter("count > 1")
     return windows.filter("_one").join(several, ["_m", "_d"], "left_semi").select("_id", "_h", "_a", F.col("_a").alias("_b"))
 
@@ -336,4 +336,4 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             done = [cut(raw, [(m["_a"], m["_b"]) for m in found or ()], length) for raw, found in zip(raws, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raws), pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in spans] for spans, _ in done], kind), pa.array([k for _, k in done], pa.binary())], [id_col, "n_bytes", "spans", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
