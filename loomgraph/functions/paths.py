@@ -92,6 +92,11 @@ def module_of_key(key: Column) -> Column:
     return F.regexp_extract(key, r"^[^:]*:(.*):MODULE$", 1)
 
 
+def module_key(repo: Column, path: Column) -> Column:
+    """The key of a module: the repository's uid, its path (``.`` for the root), and what it is."""
+    return F.concat_ws(":", repo, F.when(path == "", ".").otherwise(path), F.lit("MODULE"))
+
+
 def http_path(path: Column) -> Column:
     """Placeholders ``{x}`` and ``:x`` become ``{_}``; the empty path is ``/``."""
     one = lambda s: F.when(s.startswith("{") & s.endswith("}"), "{_}").when(s.startswith(":") & (F.length(s) > 1), "{_}").otherwise(s)

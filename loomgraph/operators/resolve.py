@@ -160,6 +160,15 @@ def container_managed(symbols: DataFrame, stereotypes: tuple = ("Component", "Se
     return symbols.withColumn("annotation", hit).filter("annotation is not null").select("uid", "annotation", F.lit("spring_container_managed").alias("kind"), F.lit(0.95).alias("confidence"))
 
 
+def resolve_accesses(edges: DataFrame, nodes: DataFrame, kinds: tuple = ("TABLE", "STATE", "FS_PATH", "DB_RESOURCE", "BLOB", "CONFIG_KEY")) -> DataFrame:
+    """READS and WRITES to their resource (target_uid, null if there is none): by stable key, else by a name that one
+    resource alone has. Both joins have one row for each key."""
+    found = nodes.filter(F.col("kind").isin(*kinds))
+    by_key = found.groupBy(F.col("stable_key").alias("target_key")).agg(F.min("uid").alias("_k"))
+    by_name = found.groupBy(F.col("name").alias("target_key")).agg(F.min("uid").alias("_n"), F.count("*").alias("_c")).filter("_c = 1").drop("_c")
+    return edges.join(by_key, "target_key", "left").join(by_name, "target_key", "left").withColumn("target_uid", F.coalesce("_k", "_n")).drop("_k", "_n")
+
+
 def promote_edges(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
     """Calls whose receiver type is known and names one class with one such method become inferred CALLS edges.
 

@@ -73,6 +73,26 @@ class FactStore:
         self.replace("snapshots", self.spark.createDataFrame([tuple(row.values())], schema("snapshots")))
 
 
+def latest_ready(snapshots: DataFrame) -> DataFrame:
+    """repo_uid, snapshot_uid of the newest ready snapshot of each repository."""
+    return snapshots.filter("status = 'ready'").groupBy("repo_uid").agg(F.max(F.struct("created_at", "snapshot_uid"))["snapshot_uid"].alias("snapshot_uid"))
+
+
+def find_repos(requests: DataFrame, repos: DataFrame) -> DataFrame:
+    """ref and the repositories that it names by uid, name or root path; equality joins, so no request scans them all."""
+    forms = F.array_distinct(F.array("repo_uid", "name", "root_path"))
+    return requests.select("ref").distinct().join(repos.select(F.explode(forms).alias("ref"), "repo_uid", "name", "root_path"), "ref")
+
+
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """snapshot_uid and a count for each table, 0 where it has no rows."""
+    long = None
+    for name, df in tables.items():
+        part = df.groupBy("snapshot_uid").agg(F.count("*").alias("_n")).withColumn("_t", F.lit(name))
+        long = part if long is None else long.unionByName(part)
+    return long.groupBy("snapshot_uid").agg(*(F.coalesce(F.sum(F.when(F.col("_t") == n, F.col("_n"))), F.lit(0)).alias(n) for n in tables))
+
+
 def newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with equal keys the one that was written last."""
     window = Window.partitionBy(*keys).orderBy(F.desc(order))

@@ -8,8 +8,11 @@ import os
 import duckdb
 import pytest
 
+from loomgraph.plans import stored_catalogue
 from loomgraph.plans.catalogue import ORACLE_SQL, QUERIES
 
+assert stored_catalogue  # registers its queries
+
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
