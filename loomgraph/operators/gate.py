@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import compared, half_up
-from ..functions.paths import under
+from ..functions.paths import ancestors
 
 
 def active_waivers(waivers: DataFrame, now: str) -> DataFrame:
@@ -19,15 +19,17 @@ def active_waivers(waivers: DataFrame, now: str) -> DataFrame:
 def evidence(obligations: DataFrame, coverage: DataFrame, complexity: DataFrame, hotspots: DataFrame, violations: DataFrame) -> DataFrame:
     """Add measured (rows found) and value by method. Inputs: path, value; ``violations``: source, status.
 
-    Obligations are few human declarations; each input is aggregated by obligation before anything else sees it.
+    Obligations are few human declarations. A row meets those of its own path and of each directory above it, and
+    those without a target, by equality, so no obligation is held against all rows.
     """
-    few = F.broadcast(obligations.select("req_id", "obligation_id", "method", F.col("target").alias("_target")))
-    near = lambda df: (F.col("_target").isNull()) | under(df["path"], F.col("_target"))
+    few = obligations.select("req_id", "obligation_id", "method", F.coalesce("target", F.lit("")).alias("_key"))
+    met = lambda df, column: df.withColumn("_key", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col(column)), F.array(F.col(column)))))
 
     def one(df: DataFrame, method: str, how: Column) -> DataFrame:
-        return df.join(few.filter(F.col("method") == method), near(df)).groupBy("req_id", "obligation_id").agg(F.count("*").alias("measured"), how.alias("value"))
+        return met(df, "path").join(few.filter(F.col("method") == method), "_key").groupBy("req_id", "obligation_id").agg(F.count("*").alias("measured"), how.alias("value"))
 
-    arch = violations.join(few.filter("method = 'arch_violations'"), under(violations["source"], F.col("_target"))).groupBy("req_id", "obligation_id").agg(F.count("*").alias("measured"), F.sum(F.when(F.col("status") == "violated", F.col("import_count")).otherwise(0)).cast("double").alias("value"))
+    placed = met(violations, "source").join(few.filter("method = 'arch_violations' and _key <> ''"), "_key")
+    arch = placed.groupBy("req_id", "obligation_id").agg(F.count("*").alias("measured"), F.sum(F.when(F.col("status") == "violated", F.col("import_count")).otherwise(0)).cast("double").alias("value"))
     count = violations.agg(F.count(F.when(F.col("status") == "violated", 1)).cast("double").alias("value"))
     module = few.filter("method = 'module_violations'").crossJoin(F.broadcast(count)).select("req_id", "obligation_id", F.lit(1).cast("long").alias("measured"), "value")
     found = one(coverage, "coverage_threshold", F.avg("value")).unionByName(one(complexity, "complexity_threshold", F.max("value").cast("double"))).unionByName(one(hotspots, "hotspot_threshold", F.max("value").cast("double"))).unionByName(arch).unionByName(module)

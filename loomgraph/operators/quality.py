@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,10 +128,8 @@ DIRECTION = {"files": 0, "symbols": 0, "calls": 0, "mutual_imports": -1, "avg_co
 
 
 def trend(now: DataFrame, parent: DataFrame | None) -> DataFrame:
-    """metric, value, parent_value, delta (4 decimals) and direction of one-row tables of metrics."""
-    long = lambda df: df.select(F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in DIRECTION)), F.array(*(F.col(c).cast("double") for c in DIRECTION)))).alias("metric", "value"))
-    rows = long(now)
-    rows = rows.join(long(parent).withColumnRenamed("value", "parent_value"), "metric", "left") if parent is not None else rows.withColumn("parent_value", F.lit(None).cast("double"))
+    """metric, value, parent_value, delta (4 decimals) and direction of tables of metric and value."""
+    rows = now.join(parent.withColumnRenamed("value", "parent_value"), "metric", "left") if parent is not None else now.withColumn("parent_value", F.lit(None).cast("double"))
     delta = F.col("value") - F.col("parent_value")
     way = F.element_at(F.create_map(*(F.lit(x) for kv in DIRECTION.items() for x in kv)), F.col("metric"))
     direction = F.when(F.col("value").isNull(), "no_data").when(F.col("parent_value").isNull(), "new").when((way == 0) | (delta == 0), "unchanged").when(F.signum(delta) == way, "improved").otherwise("worsened")
@@ -138,12 +138,14 @@ def trend(now: DataFrame, parent: DataFrame | None) -> DataFrame:
 
 
 def health(files: DataFrame, symbols: DataFrame, calls: DataFrame, mutual_imports: DataFrame, functions: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row of a snapshot's metrics, from one-row aggregates."""
-    parts = [files.agg(F.count("*").alias("files")), symbols.filter("file_uid is not null").agg(F.count("*").alias("symbols")), calls.agg(F.count("*").alias("calls")), mutual_imports.agg(F.count("*").alias("mutual_imports")), functions.filter("file is not null").agg(half_up(F.avg("complexity"), 1).alias("avg_complexity"), F.max("complexity").alias("max_complexity"), F.count("*").alias("functions")), scored.filter("hotspot_score > 0").agg(F.count("*").alias("hotspot_files"))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(F.broadcast(part))  # one row each
-    return out
+    """metric, value of a snapshot: each part is aggregated once, and their rows stand below each other."""
+    of = lambda df, **metrics: df.agg(*(v.cast("double").alias(k) for k, v in metrics.items())).select(F.explode(F.create_map(*(x for k in metrics for x in (F.lit(k), F.col(k))))).alias("metric", "value"))
+    rows = F.count("*")
+    parts = [
+        of(files, files=rows), of(symbols.filter("file_uid is not null"), symbols=rows), of(calls, calls=rows), of(mutual_imports, mutual_imports=rows),
+        of(functions.filter("file is not null"), avg_complexity=half_up(F.avg("complexity"), 1), max_complexity=F.max("complexity"), functions=rows), of(scored.filter("hotspot_score > 0"), hotspot_files=rows),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def best_by(df: DataFrame, key: str, order: list) -> DataFrame:

@@ -36,9 +36,23 @@ def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     return edges.withColumn("key", target).join(file_keys(files).withColumnRenamed("uid", "target_uid"), "key", "left").select("edge_uid", "source_path", "specifier", "key", "target_uid", F.col("target_uid").isNotNull().alias("resolved"))
 
 
-def affinity(edge_type: Column, subtype: Column) -> Column:
-    """Whether a candidate of a subtype can be the target of an edge."""
-    return F.when(edge_type == "INSTANTIATES", subtype == "CLASS").when(edge_type == "IMPLEMENTS", subtype == "INTERFACE").when(edge_type == "CALLS", ~subtype.isin("TYPE_ALIAS", "INTERFACE")).otherwise(F.lit(True))
+#: What an edge of a type may point at; all else may be the target of any other type.
+_FITS = {"INSTANTIATES": ("class", "subtype = 'CLASS'"), "IMPLEMENTS": ("interface", "subtype = 'INTERFACE'"), "CALLS": ("callable", "subtype not in ('TYPE_ALIAS', 'INTERFACE')")}
+
+
+def _needs(edge_type: Column) -> Column:
+    out = F.lit("any")
+    for kind, (name, _) in _FITS.items():
+        out = F.when(edge_type == kind, name).otherwise(out)
+    return out
+
+
+def _candidates(symbols: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key: how many symbols fit each need, and the least of them. A name that everyone uses meets an
+    edge as one row, not as all its symbols."""
+    tests = {name: test for name, test in _FITS.values()} | {"any": "true"}
+    fits = [x for name, test in tests.items() for x in (F.lit(name), F.struct(F.count(F.when(F.expr(test), 1)).alias("n"), F.min(F.when(F.expr(test), F.col("uid"))).alias("uid")))]
+    return symbols.groupBy(*(F.col(k).alias("_" + k) for k in keys)).agg(F.create_map(*fits).alias("_fits"))
 
 
 def resolve_calls(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
@@ -47,14 +61,14 @@ def resolve_calls(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | No
     A dotted key is looked up by its last segment; then the whole key by name; then by name among the files that the
     source imports (``bindings``: edge_uid, file_uid). A stage counts only if it leaves one fitting candidate.
     """
-    names = symbols.select(F.col("name").alias("_name"), F.col("uid").alias("target_uid"), "subtype", F.col("file_uid").alias("_file"))
     last, key = F.substring_index("target_key", ".", -1), F.col("target_key")
     asked = edges.select("edge_uid", "type", "target_key", F.explode(F.array_compact(F.array(F.when(key.contains("."), F.struct(F.lit(1).alias("stage"), last.alias("_name"))), F.struct(F.lit(2).alias("stage"), key.alias("_name"))))).alias("a")).select("edge_uid", "type", "target_key", "a.*")
-    found = asked.join(names, "_name").filter(affinity(F.col("type"), F.col("subtype")))
+    found = asked.join(_candidates(symbols, "name"), "_name")
     if bindings is not None:
-        narrowed = found.filter("stage = 2").join(bindings.select("edge_uid", F.col("file_uid").alias("_file")).distinct(), ["edge_uid", "_file"]).withColumn("stage", F.lit(3))
-        found = found.unionByName(narrowed)
-    staged = found.groupBy("edge_uid", "stage").agg(F.count("*").alias("n"), F.min("target_uid").alias("target_uid"))
+        at = asked.filter("stage = 2").join(bindings.select("edge_uid", F.col("file_uid").alias("_file")).distinct(), "edge_uid").withColumn("stage", F.lit(3))
+        found = found.unionByName(at.join(_candidates(symbols, "name", "file_uid").withColumnRenamed("_file_uid", "_file"), ["_name", "_file"]).drop("_file"))
+    fits = F.col("_fits")[_needs(F.col("type"))]
+    staged = found.groupBy("edge_uid", "stage").agg(F.sum(fits["n"]).alias("n"), F.min(fits["uid"]).alias("target_uid")).filter("n > 0")
     best = staged.groupBy("edge_uid").agg(F.min_by("target_uid", F.when(F.col("n") == 1, F.col("stage"))).alias("target_uid"), F.min(F.when(F.col("n") == 1, F.col("stage"))).alias("stage"), F.max("n").alias("candidates"))
     return edges.select("edge_uid", "type", "target_key").join(best, "edge_uid", "left").select("edge_uid", "type", "target_key", F.when(F.col("stage").isNotNull(), F.col("target_uid")).alias("target_uid"), F.col("stage").cast("long").alias("stage"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 

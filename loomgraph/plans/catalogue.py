@@ -497,9 +497,18 @@ assessed as (select p.policy_id, policy_kind, severity, case when count(r.target
 def _facts(g: Graph) -> tuple[DataFrame, DataFrame]:
     """Facts in scope of policies, and a baseline that lacks a fifth of them and differs in another."""
     s = g.symbols().join(g.files().select(F.col("uid").alias("file_uid"), F.col("path").alias("file")), "file_uid", "left")
-    facts = g.measurements().select(F.col("target_uid").alias("target"), "kind", F.get_json_object("value_json", "$.value").cast("double").alias("value")).join(s.select(F.col("uid").alias("target"), paths.dirname(F.col("file")).alias("module"), "file", F.col("subtype").alias("symbol_kind")), "target")
+    values_ = g.measurements().select(F.col("target_uid").alias("target"), "kind", F.get_json_object("value_json", "$.value").cast("double").alias("value"))
+    facts = values_.join(s.select(F.col("uid").alias("target"), paths.dirname(F.col("file")).alias("module"), "file", F.col("subtype").alias("symbol_kind")), "target")
     n = F.substring("target", 2, 20).cast("long") % 5
-    return facts, facts.filter(n != 0).select("target", "kind", F.when(n == 1, F.col("value") - 1).otherwise(F.col("value")).alias("value"))
+    return facts, values_.filter(n != 0).select("target", "kind", F.when(n == 1, F.col("value") - 1).otherwise(F.col("value")).alias("value"))
+
+
+@query("""select 'p-max' as policy_id, 'absolute_max' as policy_kind, 'fail' as severity, case when count(*) = 0 then 'NOT_APPLICABLE' when count(*) filter (v > 45) > 0 then 'FAIL' else 'PASS' end as verdict, count(*) as measured, count(*) filter (v > 45) as violations
+  from (select json_extract_string(value_json, '$.value')::double as v from measurements where kind = 'cyclomatic_complexity')""")
+def single_policy_assessment(g):
+    """One policy of an absolute bound over every symbol: no baseline and no scope, so no join."""
+    facts = g.measurements().select(F.col("target_uid").alias("target"), "kind", F.get_json_object("value_json", "$.value").cast("double").alias("value"))
+    return quality.assess(POLICIES[:1], facts, None)
 
 
 @query(f"+ {POLICY_SQL} select * from assessed")
@@ -1016,10 +1025,15 @@ def events_latest_per_user(g):
     return windows.latest_per_user(_events(g))
 
 
-# What SQL doesn't state
+# Explanations
 
 
-@query()
+EXPLAINED = """+ deg as (select src, count(*) as n from calls group by 1), seed as (select src as key from deg order by n desc, src limit 1),
+items as (select 'callers' as section, src as item from calls where dst in (select key from seed) union select 'callees', dst from calls where src in (select key from seed)),
+ranked as (select *, row_number() over (partition by section order by item) as rank, count(*) over (partition by section) as n from items)"""
+
+
+@query(EXPLAINED + " select section, item, rank, greatest(n - 15, 0) as omitted from ranked where rank <= 15")
 def explain_symbols(g):
     """Callers and callees of the symbol with most callees, at most 15 of each section."""
     seed = _seed(g)
