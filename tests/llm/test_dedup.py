@@ -236,6 +236,8 @@ def test_groups_follow_links_not_the_wide_step(spark, group_tile):
 def test_roots(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 3), (5, 4), (4, 1), (7, 9)], "a long, b long")
     assert rows(roots(links, "a", "b")) == [(2, 1), (3, 1), (4, 1), (5, 1), (8, 7), (9, 7)]
+    assert rows(roots(links.unionByName(spark.createDataFrame([(None, 1), (2, None)], "a long, b long")), "a", "b")) == rows(roots(links, "a", "b"))
+    assert roots(links.limit(0), "a", "b").count() == 0
 
 
 # Substrings
