@@ -45,8 +45,8 @@ def effective(judged: DataFrame, waived: DataFrame, verdict: str) -> DataFrame:
 
 def clipped(text: Column, most: int = 8192) -> Column:
     """Struct of text and truncated: at most so many bytes, ended at a whole character, then a marker."""
-    raw = F.encode(text, "UTF-8")
-    head = F.try_validate_utf8(F.decode(F.substring(raw, 1, most), "UTF-8")) if False else F.regexp_replace(F.decode(F.substring(raw, 1, most), "UTF-8"), "�+$", "")
+    head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    head = F.regexp_replace(head, "\ufffd+$", "")
     cut = F.octet_length(text) > most
     return F.struct(F.when(cut, F.concat(head, F.lit(MARKER))).otherwise(text).alias("text"), cut.alias("truncated"))
 
@@ -64,7 +64,7 @@ def surface_identity(columns: Sequence[str]) -> Column:
 def stripped_comment(raw: Column) -> Column:
     """The text of a documentation comment without its frame of stars and slashes."""
     inner = F.regexp_replace(F.regexp_replace(raw, r"^\s*/\*\*?", ""), r"\*/\s*$", "")
-    return F.trim(F.regexp_replace(inner, r"(?m)^[ \t]*\*[ \t]?", ""))
+    return F.regexp_replace(F.regexp_replace(inner, r"(?m)^[ \t]*\*[ \t]?", ""), r"^\s+|\s+$", "")
 
 
 def changed_paths(lines: DataFrame) -> DataFrame:
