@@ -367,7 +367,7 @@ ORACLE_SQL["reverse_module_imports"] = _recursive("+ walk as (select 'M0' as nod
 def change_impact(g):
     """Modules of the files whose hash changed since the earlier snapshot, and all that depends on them."""
     changed = _plan(g).filter("disposition = 'changed'").select("file_uid").join(g.files().select(F.col("uid").alias("file_uid"), "module_uid"), "file_uid")
-    found = graph.reverse_impact(g.module_imports(), changed.select(F.col("module_uid").alias("node")), 2)
+    found = graph.reverse_impact(g.module_imports(), changed.select(F.col("module_uid").alias("node")))
     return found.join(g.modules().select(F.col("uid").alias("node"), "path"), "node").select("path", "depth")
 
 
@@ -988,7 +988,7 @@ def copy_forward_nodes(g):
 TABLES = PROJECTION_SQL.format(where="").strip()
 ORACLE_SQL["copy_forward_nodes"] = f"{PLAN}, {TABLES}, kept as (select uid from symbols where file_uid in (select file_uid from planned where action = 'copy')) select (select count(*) from kept) as nodes, (select count(*) from kept) as uids, (select count(*) from calls where src in (select uid from kept)) as edges"
 ORACLE_SQL["change_impact"] = f"""{PLAN.replace('with c as', 'with recursive c as', 1)}, {TABLES}, seeds as (select distinct f.module_uid as node from planned p join files f on f.uid = p.file_uid where p.disposition = 'changed'),
-  walk as (select node, 0::bigint as depth from seeds union select i.src, w.depth + 1 from walk w join module_imports i on i.dst = w.node where w.depth < 2) select m.path, min(depth) as depth from walk w join modules m on m.uid = w.node group by 1"""
+  walk as (select node, 0::bigint as depth from seeds union select i.src, w.depth + 1 from walk w join module_imports i on i.dst = w.node where w.depth < 25) select m.path, min(depth) as depth from walk w join modules m on m.uid = w.node group by 1"""
 
 
 # Events
