@@ -49,3 +49,40 @@ def inherit_obligations(prior: DataFrame, new: DataFrame) -> DataFrame:
     key = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in same)), 256)
     old = prior.withColumn("_k", key).groupBy("_k").agg(F.min("obligation_id").alias("_id"))
     return new.withColumn("_k", key).join(old, "_k", "left").withColumn("obligation_id", F.coalesce("_id", F.substring("_k", 1, 16))).drop("_k", "_id")
+
+
+# What a declaration of each kind must say, and what it may say.
+VERBS = {
+    "boundary": (("module", "forbids"), ("reason",)),
+    "requirement": (("req_id", "version", "obligation_id", "method", "obligation"), ("target", "threshold", "operator")),
+    "waiver": (("req_id", "requirement_version", "obligation_id", "reason"), ("expires_at", "created_by", "rationale_category", "policy_basis")),
+    "quality_policy": (("policy_id", "measurement_kind", "policy_kind", "threshold"), ("version", "scope", "severity")),
+    "entrypoint": (("target", "entrypoint_kind"), ("reason",)),
+    "invariant": (("target", "text"), ()),
+    "module": (("path", "purpose"), ("maturity", "owner")),
+}
+WHOLE, NUMBERS = ("version", "requirement_version"), ("threshold",)
+
+
+def declare(requests: DataFrame, kind: str) -> DataFrame:
+    """Requests (repo_uid and the kind's fields, as text) -> declaration_uid, kind, target_stable_key, value_json, error.
+
+    A request that lacks a field, or whose number isn't one, has an error and no declaration. Fields in JSON are in order
+    of name, so equal requests have equal uids; repeated requests give repeated rows, which ``insert`` takes once.
+    """
+    needed, others = VERBS[kind]
+    said = {c: F.col(c) if c in requests.columns else F.lit(None).cast("string") for c in (*needed, *others)}
+    lacks = F.concat_ws(", ", *(F.when(F.coalesce(F.trim(said[c]), F.lit("")) == "", F.lit(c)) for c in needed))
+    typed = {c: v.try_cast("long") if c in WHOLE else v.try_cast("double") if c in NUMBERS else v for c, v in said.items()}
+    wrong = F.concat_ws(", ", *(F.when(said[c].isNotNull() & typed[c].isNull(), F.lit(c)) for c in said if c in WHOLE + NUMBERS))
+    error = F.when(lacks != "", F.concat(F.lit("missing: "), lacks)).when(wrong != "", F.concat(F.lit("not a number: "), wrong))
+    repo = F.col("repo_uid")
+    target = {
+        "boundary": F.concat_ws(":", repo, said.get("module", repo), F.lit("MODULE")), "module": F.concat_ws(":", repo, said.get("path", repo), F.lit("MODULE")),
+        "requirement": F.concat_ws(":", repo, F.lit("requirement"), said.get("req_id", repo), typed.get("version", repo).cast("string")),
+        "waiver": F.concat_ws(":", repo, F.lit("waiver"), F.concat_ws("#", said.get("req_id", repo), said.get("obligation_id", repo))), "quality_policy": F.concat_ws(":", repo, F.lit("REPO")),
+    }.get(kind, said.get("target", repo))
+    value = F.to_json(F.struct(*(typed[c].alias(c) for c in sorted(typed))))
+    good = error.isNull()
+    rows = requests.select("repo_uid", F.lit(kind).alias("kind"), F.when(good, target).alias("target_stable_key"), F.when(good, value).alias("value_json"), error.alias("error"))
+    return rows.withColumn("declaration_uid", F.when(F.col("error").isNull(), identity(F.col("kind"), F.col("target_stable_key"), F.col("value_json"))))

@@ -103,3 +103,47 @@ def generated(path: Column, text: Column) -> Column:
     """Whether a document is generated, by its name or its front matter."""
     front = F.regexp_extract(text, r"(?s)^---\r?\n(.*?)\r?\n---", 1)
     return (F.lower(basename(path)) == "map.md") | F.lower(front).rlike(r"generated_by|generated: true|kind: synthesized_summary|auto_generated|machine_generated")
+
+
+def front_matter_facts(docs: DataFrame) -> DataFrame:
+    """path, fact_kind, subject, object, confidence that documents state in their front matter. ``docs``: path, text, generated.
+
+    A document speaks for its directory. A replacement that is named beats the bare flag; of repeated keys the first counts.
+    """
+    block = F.regexp_extract("text", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
+    entry = lambda key: F.nullif(F.regexp_replace(F.trim(F.regexp_extract(block, rf"(?m)^{key}\s*:[ \t]*([^\r\n#]+)", 1)), "^[\"']|[\"']$", ""), F.lit(""))
+    flagged = F.lower(entry("deprecated")) == "true"
+    subject = F.when(dirname(F.col("path")) == "", ".").otherwise(dirname(F.col("path")))
+    by = entry("deprecated_by")
+    stated = F.array_compact(F.array(
+        *(F.when(entry(key).isNotNull(), F.struct(F.lit(kind).alias("fact_kind"), entry(key).alias("object"))) for key, kind in (("replaces", "replacement_for"), ("alternative_to", "alternative_to"))),
+        F.when(by.isNotNull() | flagged, F.struct(F.lit("deprecated_by").alias("fact_kind"), by.alias("object"))),
+    ))
+    return docs.select("path", subject.alias("subject"), "generated", F.explode(stated).alias("f")).select("path", "f.fact_kind", "subject", "f.object", confidence(F.lit("frontmatter"), F.col("generated")).alias("confidence"))
+
+
+# Environments by what a path holds, first that fits, and by the ending of a settings file.
+PATH_ENVIRONMENTS = (("prod", "production"), ("staging", "staging"), ("stage", "staging"), ("dev", "development"), ("test", "test"), ("local", "local"))
+FILE_ENVIRONMENTS = {"prod": "production", "stage": "staging", "dev": "development", "testing": "test"}
+
+
+def environment_facts(docs: DataFrame) -> DataFrame:
+    """path, subject, environment, confidence: services of compose files and the scope of settings files.
+
+    ``docs``: path, text, generated. A service is a key at the first depth below ``services``.
+    """
+    name, low = F.lower(basename(F.col("path"))), F.lower("path")
+    of_path = F.lit("default")
+    for part, environment in reversed(PATH_ENVIRONMENTS):
+        of_path = F.when(low.contains(part), environment).otherwise(of_path)
+    # From the line of the section to the next line that begins with a word.
+    section = F.regexp_extract("text", r"(?m)^services:[ \t]*(?:#.*)?\r?\n((?:(?:[ \t#].*)?(?:\r?\n|$))*)", 1)
+    depth = F.regexp_extract(section, r"(?m)^([ \t]+)[^\s#]", 1)
+    keys = F.transform(F.filter(F.split(section, r"\r?\n"), lambda x: (x.substr(F.lit(1), F.length(depth)) == depth) & x.substr(F.length(depth) + 1, F.lit(1)).rlike(r"[^\s#-]")), lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, r"^\s*([^:]+):", 1)), "^[\"']|[\"']$", ""))
+    composed = docs.filter((name.startswith("docker-compose") | name.startswith("compose.")) & (depth != "")).select("path", F.explode(F.array_distinct(keys)).alias("subject"), of_path.alias("environment"), "generated").filter("subject <> ''")
+    ending = F.regexp_extract(name, r"^\.env\.(.+)$", 1)
+    known = F.create_map(*(F.lit(x) for kv in FILE_ENVIRONMENTS.items() for x in kv))
+    of_file = F.when(name == ".env", "default").when(ending != "", F.coalesce(F.try_element_at(known, ending), ending)).otherwise("unknown")
+    scope = F.when(dirname(F.col("path")) == "", ".").otherwise(dirname(F.col("path")))
+    settings = docs.filter(name.startswith(".env")).select("path", scope.alias("subject"), of_file.alias("environment"), "generated")
+    return composed.unionByName(settings).select("path", "subject", "environment", confidence(F.lit("config_parse"), F.col("generated")).alias("confidence"))

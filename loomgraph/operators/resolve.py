@@ -97,20 +97,50 @@ def _depends(deps: Column, specifier: Column) -> Column:
     return F.array_contains(deps, specifier) | F.array_contains(deps, root)
 
 
+def _identifier() -> Column:
+    """The name whose origin tells where an unresolved edge leads: the callee, or the receiver of a method call."""
+    key, category = F.col("target_key"), F.col("category")
+    first = F.substring_index(key, ".", 1)
+    return F.when(category.isin(_NEW, _IMPLEMENTS, _CALL) & key.rlike(_IDENTIFIER), key).when((category == _OBJECT) & key.contains(".") & first.rlike(_IDENTIFIER), first)
+
+
 def classify(edges: DataFrame, signals: DataFrame) -> DataFrame:
     """edge_uid, category, target_key with one row of signals -> classification, basis; the first rule that fits.
 
     ``signals``: value_symbols, class_symbols, interface_symbols, dependencies, aliases, runtime_modules,
     runtime_globals (arrays) and bindings (array of identifier, specifier, relative). One file's or a repository's
-    signals: a single row, so the join is a broadcast of one row.
+    signals: a single row, so the join is a broadcast of one row. ``classify_by_file`` takes those of many files.
     """
-    rows = edges.crossJoin(F.broadcast(signals))
-    key, category = F.col("target_key"), F.col("category")
-    first = F.substring_index(key, ".", 1)
-    identifier = F.when(category.isin(_NEW, _IMPLEMENTS, _CALL) & key.rlike(_IDENTIFIER), key).when((category == _OBJECT) & key.contains(".") & first.rlike(_IDENTIFIER), first)
-    rows = rows.withColumn("_id", identifier)
+    category = F.col("category")
+    rows = edges.crossJoin(F.broadcast(signals)).withColumn("_id", _identifier())
     rows = rows.withColumn("_b", F.try_element_at(F.filter("bindings", lambda b: b["identifier"] == F.col("_id")), F.lit(1)))
     own = F.when(category.isin(_CALL, _OBJECT), F.array_contains("value_symbols", F.col("_id"))).when(category == _NEW, F.array_contains("class_symbols", F.col("_id"))).when(category == _IMPLEMENTS, F.array_contains("interface_symbols", F.col("_id"))).otherwise(False)
+    rows = rows.withColumn("_own", own).withColumn("_framework", F.exists("bindings", lambda b: b["specifier"].isin(*FRAMEWORK_IMPORTS)))
+    return _judged(rows, edges.columns)
+
+
+def classify_by_file(edges: DataFrame, bindings: DataFrame, symbols: DataFrame, packages: DataFrame, runtime: DataFrame) -> DataFrame:
+    """The same, each edge by the signals of its own file (``file_uid``); all joins are on equality with unique keys.
+
+    ``bindings``: file_uid, identifier, specifier, relative (of several for one name, the least specifier counts);
+    ``symbols``: file_uid, name, subtype; ``packages``: file_uid, dependencies, aliases of the nearest manifests;
+    ``runtime``: one row of runtime_modules, runtime_globals, which a language fixes. A file without a row has no signal.
+    """
+    bound = bindings.groupBy("file_uid", F.col("identifier").alias("_id")).agg(F.min(F.struct("specifier", "relative")).alias("_b"))
+    typed = F.col("subtype").isin("INTERFACE", "TYPE_ALIAS")
+    named = symbols.groupBy("file_uid", F.col("name").alias("_id")).agg(F.bool_or(~typed).alias("_value"), F.bool_or(F.col("subtype") == "CLASS").alias("_class"), F.bool_or(F.col("subtype") == "INTERFACE").alias("_interface"))
+    framework = bindings.filter(F.col("specifier").isin(*FRAMEWORK_IMPORTS)).select("file_uid").distinct().withColumn("_framework", F.lit(True))
+    rows = edges.withColumn("_id", _identifier()).join(bound, ["file_uid", "_id"], "left").join(named, ["file_uid", "_id"], "left").join(packages.select("file_uid", "dependencies", "aliases"), "file_uid", "left").join(framework, "file_uid", "left").crossJoin(F.broadcast(runtime))
+    category, none = F.col("category"), F.array().cast("array<string>")
+    own = F.when(category.isin(_CALL, _OBJECT), F.col("_value")).when(category == _NEW, F.col("_class")).when(category == _IMPLEMENTS, F.col("_interface"))
+    rows = rows.withColumn("_own", F.coalesce(own, F.lit(False))).withColumn("_framework", F.coalesce("_framework", F.lit(False))).withColumn("dependencies", F.coalesce("dependencies", none)).withColumn("aliases", F.coalesce("aliases", none))
+    return _judged(rows, edges.columns)
+
+
+def _judged(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The first rule that fits; rows carry ``_id``, ``_b`` (its binding), ``_own`` (a symbol of the file) and ``_framework``."""
+    key, category = F.col("target_key"), F.col("category")
+    first = F.substring_index(key, ".", 1)
     spec, relative = F.col("_b.specifier"), F.col("_b.relative")
     role = F.when(category == _OBJECT, "receiver").otherwise("callee")
     basis = lambda tail: F.concat(role, F.lit("_matches_" + tail))
@@ -129,14 +159,14 @@ def classify(edges: DataFrame, signals: DataFrame) -> DataFrame:
         .otherwise(unknown)
     )
     method = F.substring_index(F.substring_index(key, ".", 2), ".", -1)
-    framework = (category == _OBJECT) & F.exists("bindings", lambda b: b["specifier"].isin(*FRAMEWORK_IMPORTS)) & first.isin(*FRAMEWORK_RECEIVERS)
+    framework = (category == _OBJECT) & F.col("_framework") & first.isin(*FRAMEWORK_RECEIVERS)
     verdict = (
         F.when(framework & method.isin(*FRAMEWORK_MIDDLEWARE), out("framework_boundary_candidate", "express_middleware_registration"))
         .when(framework & method.isin(*FRAMEWORK_ROUTES), out("framework_boundary_candidate", "express_route_registration"))
         .when(category.isin(*_THIS), out("internal_candidate", "this_receiver_implies_internal"))
         .when(category == _IMPORT, imported)
         .when((category == "other") | F.col("_id").isNull(), unknown)
-        .when(own, out("internal_candidate", basis("same_file_symbol")))
+        .when(F.col("_own"), out("internal_candidate", basis("same_file_symbol")))
         .when(~relative & F.array_contains("runtime_modules", spec), out("external_library_candidate", "specifier_matches_runtime_module"))
         .when(~relative & _depends(F.col("dependencies"), spec), out("external_library_candidate", basis("external_import")))
         .when(relative, out("internal_candidate", basis("internal_import")))
@@ -144,7 +174,7 @@ def classify(edges: DataFrame, signals: DataFrame) -> DataFrame:
         .when(F.array_contains("runtime_globals", F.col("_id")), out("external_library_candidate", basis("runtime_global")))
         .otherwise(unknown)
     )
-    return rows.select(*edges.columns, verdict.alias("_v")).select(*edges.columns, "_v.*")
+    return rows.select(*columns, verdict.alias("_v")).select(*columns, "_v.*")
 
 
 def blast_radius(category: Column, basis: Column, visibility: Column) -> Column:

@@ -40,6 +40,27 @@ def doc_files(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("text")).filter(wanted & ~F.arrays_overlap(F.split("path", "/"), F.array(*(F.lit(x) for x in EXCLUDED))))
 
 
+#: What git compares for each scope of change; ``since`` takes a commit.
+DIFF_SCOPES = {"working": ["HEAD"], "staged": ["--cached"], "since": []}
+
+
+def changed_files(spark: SparkSession, root: str, scope: str = "working", since: str | None = None) -> DataFrame:
+    """path, change of what differs in a work tree: against the last commit, staged, or since a commit.
+
+    Git runs on the driver, where the tree is; what it prints is one line for each changed file.
+    """
+    import subprocess
+
+    if scope not in DIFF_SCOPES or (scope == "since") != bool(since):
+        raise ValueError("scope is working or staged, or since with a commit")
+    if since and since.startswith("-"):
+        raise ValueError("a commit can't begin with a dash")
+    told = subprocess.run(["git", "-C", root, "diff", "--name-status", *DIFF_SCOPES[scope], *([since] if since else []), "--"], check=True, capture_output=True, text=True).stdout
+    from ..operators.reports import changed_paths
+
+    return changed_paths(spark.createDataFrame([(x,) for x in told.splitlines()], "value string"))
+
+
 def numstat(lines: DataFrame) -> DataFrame:
     """commit, file, added, deleted from ``git log --numstat`` output: id (line number), value.
 

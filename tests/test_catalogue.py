@@ -8,10 +8,10 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans import stored_catalogue
+from loomgraph.plans import source_catalogue, stored_catalogue
 from loomgraph.plans.catalogue import ORACLE_SQL, QUERIES
 
-assert stored_catalogue  # registers its queries
+assert stored_catalogue and source_catalogue  # register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
