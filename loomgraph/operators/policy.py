@@ -3,7 +3,7 @@
 There is no grammar here: comments and the insides of strings are blanked, brackets are matched, and statements are read
 from tokens. Macros aren't expanded.
 
-Defined cases: a null text has no facts; a file with unmatched brackets has those of the functions that close; a case
+Defined cases: a null text has no facts; a function whose bracket never closes reaches to the end of its file; a case
 that ends with ``break`` maps to nothing.
 """
 
@@ -251,6 +251,15 @@ def _show(items: list) -> str:
     return out
 
 
+def _unled(before: list) -> list:
+    """A statement's part without the conditions, labels and words that lead to it."""
+    labelled = not any(_is(x, "?") for x in before)
+    for k in reversed(range(len(before))):
+        if _is(before[k], "else", "do") or labelled and _is(before[k], ":") or len(before[k]) == 3 and k and _is(before[k - 1], "if", "while", "for", "switch"):
+            return before[k + 1 :]
+    return before
+
+
 def _fate(path: list[tuple[list, int]]) -> tuple[str, str | None]:
     """What becomes of a call, given (items, index) from the innermost level out; the index outside is the group's."""
     for depth, (items, at) in enumerate(path):
@@ -265,7 +274,7 @@ def _fate(path: list[tuple[list, int]]) -> tuple[str, str | None]:
         end = right
         while end < len(items) and not _is(items[end], ",", ";", "{", "}"):
             end += 1
-        before, after = items[left:first], items[right:end]
+        before, after = _unled(items[left:first]), items[right:end]
         if signs := [k for k, x in enumerate(before) if _is(x, *_ASSIGN)]:
             target = before[: signs[-1]]
             for k in reversed(range(len(target))):  # the declared type isn't part of the variable
