@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trimmed
+from .common import held, trimmed
 
 VOCABULARY = "byte_bpe_50k.json"
 LEAF, WINDOW, AGREE = 16_384, 64, 2
@@ -220,10 +219,9 @@ class Codec:
         return b"".join(map(self.by_id.__getitem__, ids.tolist())).decode(errors="replace")
 
 
-@lru_cache(maxsize=2)
 def codec(name: str = VOCABULARY, leaf: int = LEAF) -> Codec:
     """The worker's own, kept from task to task."""
-    return Codec(name, leaf)
+    return held(Codec, name, leaf)
 
 
 def _batches(batches, text_at: int, most: int = 4 << 20):

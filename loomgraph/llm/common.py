@@ -17,6 +17,8 @@ WHITESPACE = b" \t\n\x0b\x0c\r"
 #: The same as a Java regular expression for the words between.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 _STAGED: list[str] = []
+_HELD: dict[tuple, object] = {}
+_ASKED: list[tuple] = []
 _TO_SPACE = bytes(32 if c in WHITESPACE else c for c in range(256))
 
 
@@ -79,11 +81,15 @@ def spread(df: DataFrame, factor: int = 4) -> int:
 def trimmed(run: Callable) -> Callable:
     """A function of batches that gives a task's freed memory back to the system at its end.
 
-    Workers live on from task to task; what their allocators hold on to would add up with the executor's own memory.
+    Workers live on from task to task; what their allocators hold on to would add up with the executor's own memory. So
+    would what another operator's tasks had ``held``: it goes with the first task that doesn't ask for it.
     """
 
     def whole(batches: Iterator) -> Iterator:
+        _ASKED.clear()
         yield from run(batches)
+        if not _ASKED:
+            _HELD.clear()
         pa.default_memory_pool().release_unused()
         if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
             libc.malloc_trim(0)
@@ -91,6 +97,16 @@ def trimmed(run: Callable) -> Callable:
     return whole
 
 
+def held(make: Callable, *args):
+    """What ``make`` makes of ``args``, kept in a worker from task to task until another operator asks for its own."""
+    key = (make, args)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make(*args)
+    _ASKED.append(key)
+    return _HELD[key]
+
+
 def word_count(text: str):
     """Number of words of a text column; null counts as none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_REGEX)), F.lit(0)).cast("long")

@@ -16,7 +16,6 @@ empty table gives an empty result. ``measure`` returns only its own columns, ``k
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITESPACE, trimmed
+from .common import WHITESPACE, held, trimmed
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,7 +36,6 @@ CACHE_WORDS, CHUNK_BYTES = 100_000, 4 << 20
 _SYMBOLS = b"#*$%&|<>"
 
 
-@lru_cache(maxsize=4)
 def vocabulary(name: str = VOCABULARY):
     """(encode a list of texts to lists of ids, array that says which ids are byte fallback)."""
     import public_tokenizers
@@ -63,10 +61,9 @@ def vocabulary(name: str = VOCABULARY):
     return (lambda texts: [model.encode_ordinary(t) for t in texts]), partial
 
 
-@lru_cache(maxsize=4)
 def encoder_of(name: str) -> Encoder:
     """The worker's own, kept from task to task."""
-    return Encoder(name)
+    return held(Encoder, name)
 
 
 class Encoder:

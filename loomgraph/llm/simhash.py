@@ -154,13 +154,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, most: int
     return _compared(rows, ["ta", "tb"], max(1, min(met, 20_000)), radius, most)
 
 
-def _compared(rows: DataFrame, pair: list[str], partitions: int, radius: int, most: int | None) -> DataFrame:
-    """Links a, b (all words) of tiles ``x`` that meet: rows of ``pair``, whose last two columns number the tiles, and ``second``."""
+def _compared(rows: DataFrame, pair: list[str], partitions: int, radius: int, most: int | None, keyed: bool = False) -> DataFrame:
+    """Links a, b (all words or, ``keyed``, the 128 bits that stand for them) of tiles ``x`` that meet: rows of ``pair``, whose last two columns number the tiles, and ``second``."""
     columns = [*pair, "second", "x", "width"]
     at = {c: columns.index(c) for c in columns}
 
+    kind = pa.binary() if keyed else pa.list_(pa.int64())
+    shown = (lambda words: xxhash.xxh3_128_digest(words.tobytes())) if keyed else (lambda words: words)
+
     def run(batches):
-        kind = pa.list_(pa.int64())
         first = None
         for batch in batches:
             for ta, tb, second, x, width in zip(*(batch.column(at[c]) for c in (*pair[-2:], "second", "x", "width")), strict=True):
@@ -173,10 +175,10 @@ def _compared(rows: DataFrame, pair: list[str], partitions: int, radius: int, mo
                     first = tile_.copy()
                     continue
                 own = own.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i, _ in found], kind), pa.array([own[j] for _, j in found], kind)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([shown(own[i]) for i, _ in found], kind), pa.array([shown(own[j]) for _, j in found], kind)], ["a", "b"])
 
     dealt = rows.select(*columns).repartition(partitions, *pair).sortWithinPartitions(*pair, "second")
-    return dealt.mapInArrow(trimmed(run), "a array<long>, b array<long>")
+    return dealt.mapInArrow(trimmed(run), "a binary, b binary" if keyed else "a array<long>, b array<long>")
 
 
 def grouped_links(distinct: DataFrame, wide: DataFrame, group: str, radius: int, most: int, tile: int = GROUP_TILE) -> DataFrame:
@@ -187,14 +189,8 @@ def grouped_links(distinct: DataFrame, wide: DataFrame, group: str, radius: int,
     tiles = staged(dealt.groupBy(group, "t", "_tiles").agg(F.flatten(F.collect_list("_wide")).alias("x"), F.first(F.size("_wide")).alias("width")), "group-tiles")
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1), lambda o: F.struct(F.least("t", o).alias("ta"), F.greatest("t", o).alias("tb"), (o < F.col("t")).alias("second")))
     rows = tiles.select(group, "x", "width", F.explode(meets).alias("m")).select(group, "x", "width", "m.ta", "m.tb", "m.second")
-    found = _compared(rows, [group, "ta", "tb"], spread(distinct), radius, most)
-
-    def keyed(batches):
-        for batch in batches:
-            cols = [pa.array([xxhash.xxh3_128_digest(w.values.to_numpy(zero_copy_only=False).tobytes()) for w in c], pa.binary()) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
-
-    return found.mapInArrow(trimmed(keyed), "a binary, b binary")
+    # Keys at once, so that a task needs one Python worker and not two.
+    return _compared(rows, [group, "ta", "tb"], spread(distinct), radius, most, keyed=True)
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE, tile: int = TILE) -> DataFrame:

@@ -78,3 +78,21 @@ def test_operators_on_the_given_tables(spark):
         found = con.sql(sql)
         at = [found.columns.index(c) for c in columns]
         assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(str(tuple(r[i] for i in at)) for r in found.fetchall()), name
+
+
+def test_a_worker_holds_one_operators_memory():
+    from loomgraph.llm import common
+
+    made = []
+    make = lambda *a: made.append(a) or a
+    other = lambda: made.append("other")
+    uses = common.trimmed(lambda batches: (common.held(make, 1) for _ in batches))
+    idle = common.trimmed(lambda batches: (b for b in batches))
+    list(uses([0, 0])), list(uses([0]))
+    assert made == [(1,)] and common._HELD
+    list(idle([0]))
+    assert not common._HELD
+    list(uses([0]))
+    common.held(other)
+    assert made == [(1,), (1,), "other"] and len(common._HELD) == 1
+    common._HELD.clear()
