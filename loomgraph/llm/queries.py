@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fertility, licenses, mixing, ordinal, preferences, sharding, simhash, substrings
+from . import bpe, exact_dedup, fertility, licenses, mixing, ordinal, preferences, prefix_trie, sharding, simhash, substrings, variants
 from .common import documents
 
 
@@ -61,7 +61,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_simhash, op4_exact_dedup, op5_ordinal_classifier, op6_virtual_slots, op7_preferences, op8_substrings, op9_bpe, op10_mixing)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(documents(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_simhash, op4_exact_dedup, op5_ordinal_classifier, op6_virtual_slots, op7_preferences, op8_substrings, op9_bpe, op10_mixing, op11_prefix_trie, op12_spelling_variants)}
+
+#: The 256 steps of CRC-32 for a byte, made by its rule.
+CRC32 = r"""
+        with crc as (select list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as tab
+                     from (select unnest(range(0, 256)) as i))"""
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -87,4 +100,38 @@ ORACLE_SQL: dict[str, str] = {
                case when nc is not null then coalesce(string_agg(span, ',' order by k) filter (side = 0 and k > p.n_common and role = 'assistant'), '') end as chosen_spans,
                case when nr is not null then coalesce(string_agg(span, ',' order by k) filter (side = 1 and k > p.n_common and role = 'assistant'), '') end as rejected_spans
         from p join q using (pair_id) group by p.pair_id, p.n_common, nc, nr""",
+    "op11_prefix_trie": CRC32 + r"""
+        , t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+                       row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as k
+                from conversations where conv_id is not null),
+        l as (select c, list({'role': role, 'text': text} order by k) as own from t group by c),
+        h as (select c, own, list_transform(string_split(c::varchar, ''), lambda x: ord(x)::bigint) as bytes from l),
+        e as (select h.c, own, coalesce(xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 6, 0) as heads from h, crc),
+        r as (select e.c, list_concat(coalesce(b.own, [])[:heads], e.own[heads + 1:]) as turns from e left join l b on b.c = e.c - e.c % 100),
+        p as (select c, d, sha256(to_json(turns[:d])::varchar) as key, case when d > 0 then sha256(to_json(turns[:d - 1])::varchar) end as above,
+                     case when d > 0 then length(turns[d].text) else 0 end as last, d = len(turns) as ends
+              from (select c, turns, unnest(range(0, len(turns) + 1)) as d from r)),
+        n as (select key, d, above, min(c) as c, count(*) as n, any_value(last) as last,
+                     sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256 from p group by key, d, above),
+        k as (select above, count(*) as kids from n where above is not null group by above),
+        m as (select n.*, coalesce(kids, 0) as kids from n left join k on k.above = n.key),
+        s as (select p.key, count(*) filter (m.kids = 0) as leaves, sum((m.n - 1) * m.last) as saved from m join p on p.c = m.c and p.d <= m.d group by p.key)
+        select m.c as conv_id, m.d as depth, u.c as parent_conv_id, m.n as n_convs, m.kids as n_children, s.leaves as n_leaves, s.saved::bigint as saved_tokens, m.ends_sha256
+        from m join s using (key) left join n u on u.key = m.above""",
+    "op12_spelling_variants": CRC32 + r"""
+        , g as (select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as c
+                from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as w from documents) group by all),
+        b as (select w, c, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || w, ''), lambda x: case when ord(x) < 128 then [ord(x)::bigint] else [195, ord(x) - 64] end)) as bytes from g where length(w) >= 6),
+        h as (select w, c, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) as h from b, crc),
+        v as (select case when h % 199 = 0 then w[:h % length(w)] || w[h % length(w) + 2:] else w end as word, c from h),
+        t as (select word, sum(c)::bigint as n from v where length(word) >= 6 group by word having sum(c) >= 5),
+        o as (select word, n, i, word[:i - 1] || word[i + 1:] as hole from (select word, n, unnest(range(1, length(word) + 1)) as i from t)),
+        e as (select distinct o.word, t.word as near from o join t on t.word = o.hole
+              union select distinct t.word, o.word from o join t on t.word = o.hole
+              union select a.word, b.word from o a join o b on a.i = b.i and a.hole = b.hole and a.word <> b.word),
+        f as (select e.word, count(*) as n_near, first(t.word order by t.n desc, t.word) as form, first(t.n order by t.n desc, t.word) as form_n from e join t on t.word = e.near group by e.word),
+        s as (select t.word, t.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * t.n then form end as form, case when form_n >= 5 * t.n then form_n end as form_n from t left join f using (word)),
+        r as (with recursive walk as (select word, form as at from s where form is not null union all select walk.word, s.form from walk join s on s.word = walk.at where s.form is not null)
+              select walk.word, walk.at as root from walk join s on s.word = walk.at where s.form is null)
+        select s.word, n, n_near, form, form_n, coalesce(root, s.word) as root from s left join r using (word)""",
 }
