@@ -58,6 +58,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_folder(spark: SparkSession, tag: str) -> str:
+    """The name of a new folder under the shared one, which ``release`` deletes with what is staged."""
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+
 def staged_so_far() -> int:
     return len(_STAGED)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fertility, licenses, mixing, ordinal, preferences, prefix_trie, sharding, simhash, substrings, variants
+from . import bpe, exact_dedup, fertility, licenses, mixing, ordinal, preferences, prefix_trie, sharding, simhash, substrings, variants, warc
 from .common import documents
 
 
@@ -69,7 +69,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_simhash, op4_exact_dedup, op5_ordinal_classifier, op6_virtual_slots, op7_preferences, op8_substrings, op9_bpe, op10_mixing, op11_prefix_trie, op12_spelling_variants)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(documents(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_simhash, op4_exact_dedup, op5_ordinal_classifier, op6_virtual_slots, op7_preferences, op8_substrings, op9_bpe, op10_mixing, op11_prefix_trie, op12_spelling_variants, op13_warc)}
 
 #: The 256 steps of CRC-32 for a byte, made by its rule.
 CRC32 = r"""
@@ -134,4 +138,9 @@ ORACLE_SQL: dict[str, str] = {
         r as (with recursive walk as (select word, form as at from s where form is not null union all select walk.word, s.form from walk join s on s.word = walk.at where s.form is not null)
               select walk.word, walk.at as root from walk join s on s.word = walk.at where s.form is null)
         select s.word, n, n_near, form, form_n, coalesce(root, s.word) as root from s left join r using (word)""",
+    "op13_warc": r"""
+        with t as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+             w as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from t)
+        select page_id, payload_bytes::bigint as payload_bytes, payload_digest, case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+               case when page_id is distinct from first then first end as refers_to from w""",
 }

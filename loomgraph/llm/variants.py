@@ -133,11 +133,12 @@ def _pairs(block: list, about: tuple | None) -> list:
     else:
         short, long = ([w for w in block if len(w[0]) == n] for n in (s, s + 1))
         if short and long:
-            rows, longer = _middles(short, a, middle), _middles(long, a, middle + 1)
+            # Whole rests: an insertion among equal code points may stand in several places, and what the start shares decides.
+            rows, longer = _middles(short, a, s - a), _middles(long, a, s - a + 1)
             for i in range(len(rows)):
                 start = _run(longer[:, :-1] == rows[i])
                 end = _run((longer[:, 1:] == rows[i])[:, ::-1])
-                near = np.flatnonzero((start + end >= middle) & (start + a < most))
+                near = np.flatnonzero((start + end >= s - a) & (start + a < most))
                 found += [(short[i], long[j]) for j in near.tolist()]
     return [(*x, *y) for u, v in found for x, y in ((u, v), (v, u))]
 
