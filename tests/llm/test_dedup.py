@@ -154,6 +154,55 @@ def test_keep_one(spark, odd, empty):
     assert "one" in texts and "two words" in texts and "nameless text" in texts
     ids = [r["doc_id"] for r in got.collect() if r["doc_id"] is not None]
     assert len(ids) == len(set(ids))
+    assert "one" in texts and len(got.filter("doc_id = 6").collect()) == 1  # a row that stands three times
+
+
+def test_keep_one_decides_by_identifier_and_text(spark):
+    """Rows of one identifier with texts of their own all stay; only the copies of one text go."""
+    rnd = random.Random(8)
+    texts = [word_soup(rnd, 200) for _ in range(4)]
+    data = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (2, texts[0] + " more"), (None, texts[3]), (None, texts[3] + " more"), (3, texts[2] + " more"), (0, texts[3] + " and more")]
+    df = spark.createDataFrame([(i, t, None, None, None, *"cccccc") for i, t in data], KIND)
+    assert {(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()} == {(1, texts[0]), (1, texts[1]), (1, texts[2]), (0, texts[3] + " and more")}
+
+
+def test_keep_one_carries_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a text of a few words here", b"r", 5, 6), (2, "another one that is not alike at all", None, 5, 6)], "doc_id long, text string, _row binary, _all long, _key long")
+    assert sorted(map(tuple, simhash.keep_one(df).collect())) == sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize(("group_tile", "tile_bytes"), [(simhash.GROUP_TILE, simhash.TILE_BYTES), (3, 5_000)])
+def test_near_components_against_exact_similarities(spark, group_tile, tile_bytes):
+    """Texts between 0.7 and 0.9 alike: components are those of exact links, pairs just below 0.8 aren't linked."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(260)]
+        for changed in (0, 4, 5, 6, 7):
+            one = base.copy()
+            for j in range(changed):
+                one[(17 + 31 * j + rnd.randint(0, 9)) % 256] = word()
+            texts.append(" ".join(one))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            near += 0.77 < alike < 0.8
+            if alike >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    df = spark.createDataFrame([(i, t, None, None, None, *"cccccc") for i, t in enumerate(texts)], KIND)
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(df, group_tile=group_tile, tile_bytes=tile_bytes).collect())
+    assert near > 5 and kept == sorted({top(i) for i in range(len(texts))})
 
 
 def test_a_repeated_line_does_not_make_near_copies(spark):
