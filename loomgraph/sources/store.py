@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +53,8 @@ class FactStore:
 
     def _apart(self, df: DataFrame, table: str) -> DataFrame:
         """Write elsewhere under the store and read back: survives lost executors, unlike what an executor holds."""
-        path = f"{self.root}/_staging/{table}"
-        df.write.mode("overwrite").parquet(path)
+        path = f"{self.root}/_staging/{table}-{uuid.uuid4().hex}"  # its own, so that two writers don't meet
+        df.write.parquet(path)
         return self.spark.read.schema(schema(table)).parquet(path)
 
     def latest(self, repo: str) -> str | None:
