@@ -194,10 +194,12 @@ def _filesystem(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def dictionary(df: DataFrame, payload_col: str, sample: int = SAMPLE, longest: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> bytes:
+def dictionary(df: DataFrame, id_col: str, payload_col: str, sample: int = SAMPLE, longest: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary for the records: trained on a bounded sample of whole payloads, or headers alone where there are too few."""
-    text = F.col(f"`{payload_col}`")
-    picked = df.filter(F.octet_length(text).between(1, longest)).select(text.alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample).collect()
+    rows = df.select(F.col(f"`{payload_col}`").alias("t"), F.xxhash64(f"`{payload_col}`", f"`{id_col}`").alias("h")).filter(F.octet_length("t").between(1, longest))
+    # About so many rows in all pass the hash's remainder, so that each partition sends few and the driver holds a bounded number.
+    every = max(1, rows.count() // sample)
+    picked = rows.filter(F.pmod("h", F.lit(every)) == 0).orderBy("h", "t").limit(sample).collect()
     samples = [record("response", "0", "http://example.com/", r.t.encode(), hashlib.sha256(r.t.encode()).hexdigest(), None) for r in picked]
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 8)), samples).as_bytes()
@@ -223,7 +225,7 @@ def write(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_
     """
     spark = df.sparkSession
     folder = folder or staged_folder(spark, "warc")
-    words = dictionary(df, payload_col)
+    words = dictionary(df, id_col, payload_col)
     rows = decided(df, id_col, url_col, payload_col, least).select(F.col("_id").cast("string"), "_url", F.col("_payload").cast("binary"), "_digest", F.col("_refers").cast("string"), "_revisit")
 
     def run(batches):
