@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Kinds of edge whose target is alive.
@@ -13,19 +13,30 @@ ALIVE_BY = ("IMPORTS", "CALLS", "IMPLEMENTS", "INSTANTIATES", "ROUTES_TO", "REGI
 LIVENESS = ("framework_entrypoint", "spring_container_managed", "pytest_test", "pytest_fixture", "linux_system_managed")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop's table. The folder is the cluster's, or a local one in local runs."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's, or a local one in local runs."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if found is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(found or f"file:///tmp/loomgraph-{uuid.uuid4().hex}")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a loop's table."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def dead_nodes(symbols: DataFrame, calls: DataFrame, files: DataFrame, entrypoints: DataFrame | None = None, inferences: DataFrame | None = None, min_lines: int | None = None) -> DataFrame:
-    """Symbols that nothing refers to, no declared entry point names and no liveness inference keeps."""
+    """Symbols that nothing refers to, no declared entry point names and no liveness inference keeps.
+
+    ``calls`` are edges src, dst; if they have a type, those of ``ALIVE_BY`` keep their target alive and no others.
+    """
+    if "type" in calls.columns:
+        calls = calls.filter(F.col("type").isin(*ALIVE_BY))
     dead = symbols.join(calls.select(F.col("dst").alias("uid")), "uid", "left_anti")
     if entrypoints is not None:
         dead = dead.join(entrypoints.select(F.col("target_uid").alias("uid")), "uid", "left_anti")
@@ -85,6 +96,125 @@ def strongly_connected_core(edges: DataFrame) -> DataFrame:
         left = _cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
 
 
+def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges without their pass-through nodes, and what those were: (src, dst, inner) and (node, src, dst).
+
+    A node with one edge in and one out only passes a ring on, so it lies on a ring with both its neighbours or on none.
+    Runs of them are found by doubling pointers in both directions, in as many rounds as a run's length has binary
+    digits, and become one edge; ``inner`` has their nodes in order. A ring of such nodes alone keeps its smallest.
+    """
+    plain = _cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    degrees = plain.select(F.col("src").alias("node"), F.col("dst").alias("_next"), F.lit(None).cast("string").alias("_back")).unionByName(plain.select(F.col("dst").alias("node"), F.lit(None).cast("string").alias("_next"), F.col("src").alias("_back")))
+    degrees = degrees.groupBy("node").agg(F.count("_next").alias("_out"), F.count("_back").alias("_in"), F.min("_next").alias("_next"), F.min("_back").alias("_back"))
+    passing = _cut(degrees.filter("_out = 1 and _in = 1").select("node", "_next", "_back"))
+    rings = _closed(passing.select("node", "_next"))
+    passing = _cut(passing.join(rings, "node", "left_anti"))
+    ahead = _ends(passing.select("node", F.col("_next").alias("to")))
+    behind = _ends(passing.select("node", F.col("_back").alias("to")))
+    run = _cut(ahead.select("node", F.col("to").alias("dst")).join(behind.select("node", F.col("to").alias("src"), F.col("last").alias("head"), F.col("steps").alias("at")), "node"))
+    joined = run.groupBy("src", "dst", "head").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("_run")).select("src", "dst", F.col("_run.node").alias("inner"))
+    inside = run.select("node")
+    direct = plain.join(inside.withColumnRenamed("node", "src"), "src", "left_anti").join(inside.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst", F.array().cast("array<string>").alias("inner"))
+    return _cut(joined.unionByName(direct)), run.select("node", "src", "dst")
+
+
+def _ends(step: DataFrame) -> DataFrame:
+    """node, to (the first node on its way that isn't a node here), last (the one before it), steps; every way must end."""
+    state = _cut(step.select("node", "to", F.col("node").alias("last"), F.lit(1).cast("long").alias("steps")))
+    while True:
+        more = state.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("last").alias("_last"), F.col("steps").alias("_steps"))
+        moved = state.join(more, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), F.coalesce("_last", "last").alias("last"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_to").isNotNull().alias("_moved"))
+        state = _cut(moved)
+        if state.filter("_moved").isEmpty():
+            return state.drop("_moved")
+
+
+def _closed(step: DataFrame) -> DataFrame:
+    """The smallest node of each ring that the nodes' only ways (node, _next) close.
+
+    While a way that ends is left, each doubling finds some of its nodes' ends; when a round changes neither the number of
+    open nodes nor any minimum, only rings are left, and each node has seen its whole ring.
+    """
+    state, seen = _cut(step.select("node", F.col("_next").alias("to"), F.least("node", "_next").alias("least"))), None
+    while True:
+        ahead = state.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        state = _cut(state.join(ahead, "to").select("node", F.col("_to").alias("to"), F.least("least", "_least").alias("least")))
+        now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("node", "least").cast("decimal(38,0)"))).first())
+        if now == seen or not now[0]:
+            return state.select(F.col("least").alias("node")).distinct()
+        seen = now
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of every node on some ring; nodes on none have no row.
+
+    Pass-through nodes go first (``chains``), then what can't lie on a ring. The rest is coloured: each node takes the
+    first node that reaches it, in an order by hash; the nodes of a colour that reach the one it is named after are a
+    component. Edges between colours lie on no ring and go, and so on until nothing is left; as the order has nothing to
+    do with the edges, a row of components is cut at several places at once. Loops of one node don't count.
+    """
+    short, passed = chains(edges)
+    return _cut(_components(short, passed))
+
+
+def _components(short: DataFrame, passed: DataFrame) -> DataFrame:
+    done = short.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    left = strongly_connected_core(short.filter("src <> dst"))
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        colours, seen = _cut(nodes.withColumn("colour", F.struct(F.xxhash64("node").alias("at"), "node"))), None
+        while True:
+            now = colours.agg(F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first()[0]
+            if now == seen:
+                break
+            seen = now
+            sent = left.join(colours.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
+            colours = _cut(colours.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour")))
+        colours = colours.select("node", F.col("colour.node").alias("colour"))
+        of = lambda c: colours.toDF(c, f"_{c}")
+        left = _cut(left.join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst").select("src", "dst"))
+        reached = levels(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colours.filter("node = colour"), None)
+        found = _cut(colours.join(reached.select("node"), "node", "left_semi"))
+        several = found.groupBy("colour").count().filter("count > 1").select("colour")
+        done = _cut(done.unionByName(found.join(several, "colour", "left_semi").select("node", F.col("colour").alias("component"))))
+        gone = found.select("node")
+        left = strongly_connected_core(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    done = done.groupBy("node").agg(F.min("component").alias("component"))  # a loop's own node may be part of more
+    ends = passed.join(done.toDF("src", "component"), "src").join(done.toDF("dst", "_c"), "dst").filter("component = _c").select("node", "component")
+    whole = _cut(done.unionByName(ends))
+    names = whole.groupBy("component").agg(F.min("node").alias("_name"))
+    return whole.join(names, "component").select("node", F.col("_name").alias("component"))
+
+
+def rings(edges: DataFrame) -> DataFrame:
+    """Every simple cycle of two nodes or more, whatever its length: members (from the smallest, in order), length.
+
+    Cycles lie within strongly connected components, so paths grow there only, over edges without pass-through nodes:
+    a ring takes as many rounds as it has nodes with a choice. It is found from the smallest of these alone.
+    There may be exponentially many; that is the question's nature and not this function's.
+    """
+    short, passed = chains(edges)
+    home = _components(short, passed)
+    inner = short.join(home.toDF("src", "_a"), "src").join(home.toDF("dst", "_b"), "dst").filter("_a = _b").select("src", "dst", "inner")
+    step = _cut(inner.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), "inner"))
+    loops = step.filter("_s = _d").select(F.concat(F.array("_s"), "inner").alias("members"))
+    found, paths = [loops], _cut(step.filter("_s < _d").select(F.array("_s", "_d").alias("p"), F.concat(F.array("_s"), "inner").alias("members")))
+    while not paths.isEmpty():
+        grown = _cut(paths.join(step, F.element_at("p", -1) == F.col("_s")).select("p", "_d", F.concat("members", F.array("_s"), "inner").alias("members")))
+        found.append(grown.filter(F.element_at("p", 1) == F.col("_d")).select("members"))
+        paths = _cut(grown.filter((F.col("_d") > F.element_at("p", 1)) & ~F.array_contains("p", F.col("_d"))).select(F.concat("p", F.array("_d")).alias("p"), "members"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(canonical_ring(F.col("members")).alias("members"), F.size("members").cast("long").alias("length"))
+
+
+def numbered_rings(found: DataFrame) -> DataFrame:
+    """cycle_id (cycle-1, ... in the order of members), members (joined by commas), length."""
+    rows = numbered(found.select(F.array_join("members", ",").alias("members"), "length"), ["members"], "_n")
+    return rows.select(F.concat(F.lit("cycle-"), F.col("_n").cast("string")).alias("cycle_id"), "members", "length")
+
+
 def levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
     """node, depth: least number of edges from any seed (depth 0), breadth first.
 
@@ -104,21 +234,56 @@ def levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFra
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int) -> DataFrame:
-    """depth, path of a shortest path (the lexicographically smallest); no row if there is none within ``max_depth``.
+def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int) -> list[str] | None:
+    """The nodes of a shortest path (of several, the smallest in order), or None if there is none within ``max_depth``.
 
-    The search keeps one path for each node and level: the smallest, which every smallest continuation extends.
+    Both ends are searched, always from the smaller frontier, with one row for each node and level. From where they meet
+    the levels are walked back, keeping the nodes that lie on a shortest path; only the path itself comes to the driver.
     """
     spark = edges.sparkSession
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next"))
-    seen = frontier = _cut(spark.createDataFrame([(start, [start])], "node string, path array<string>"))
-    for depth in range(max_depth + 1):
-        hit = frontier.filter(F.col("node") == goal)
-        if depth == max_depth or not hit.isEmpty():
-            return hit.select(F.lit(depth).cast("long").alias("depth"), "path")
-        fresh = frontier.join(step, "node").select(F.col("_next").alias("node"), F.concat("path", F.array("_next")).alias("path")).groupBy("node").agg(F.min("path").alias("path"))
-        frontier = _cut(fresh.join(seen.select("node"), "node", "left_anti"))
-        seen = seen.unionByName(frontier)
+    ways = {1: edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")), -1: edges.select(F.col("dst").alias("node"), F.col("src").alias("_next"))}
+    layers = {way: [_cut(spark.createDataFrame([(end,)], "node string"))] for way, end in ((1, start), (-1, goal))}
+    seen, sizes = {way: found[0] for way, found in layers.items()}, {1: 1, -1: 1}
+    if start == goal:
+        return [start]
+    while len(layers[1]) + len(layers[-1]) - 2 < max_depth:
+        way = 1 if sizes[1] <= sizes[-1] else -1
+        fresh = layers[way][-1].join(ways[way], "node").select(F.col("_next").alias("node")).distinct().join(seen[way], "node", "left_anti")
+        layers[way].append(_cut(fresh))
+        sizes[way] = layers[way][-1].count()
+        if not sizes[way]:
+            return None
+        seen[way] = seen[way].unionByName(layers[way][-1])
+        meet = layers[1][-1].join(layers[-1][-1], "node", "left_semi")
+        if not meet.isEmpty():
+            break
+    else:
+        return None
+    there, back = [_cut(meet)], [_cut(meet)]
+    for kept, own, way in ((there, layers[1], -1), (back, layers[-1], 1)):
+        for layer in reversed(own[:-1]):
+            near = kept[-1].join(ways[way], "node").select(F.col("_next").alias("node")).distinct()
+            kept.append(_cut(layer.join(near, "node", "left_semi")))
+    path = [start]
+    for layer in [*reversed(there[:-1]), *back[1:]]:  # each holds what can come next on a shortest path
+        path.append(ways[1].filter(F.col("node") == path[-1]).select(F.col("_next").alias("node")).join(layer, "node", "left_semi").agg(F.min("node")).first()[0])
+    return path
+
+
+def path_steps(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max_depth: int) -> DataFrame:
+    """found, step, node, name, file, line, edge_type of a shortest path; one row with found = false if there is none.
+
+    ``edges``: src, dst, type; a step's type is that of the edge that leads to it, of several the smallest. ``nodes``:
+    node, name, file, line.
+    """
+    path = shortest_path(edges.select("src", "dst"), start, goal, max_depth)
+    if path is None:
+        return edges.sparkSession.createDataFrame([(False,) + (None,) * 6], "found boolean, step long, node string, name string, file string, line long, edge_type string")
+    steps = edges.sparkSession.createDataFrame([(i, n, path[i - 1] if i else None) for i, n in enumerate(path)], "step long, node string, _from string")  # max_depth + 1 rows at most
+    types = edges.join(F.broadcast(steps.select(F.col("_from").alias("src"), F.col("node").alias("dst"))), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min("type").alias("edge_type"))
+    told = nodes.join(F.broadcast(steps.select("node")), "node", "left_semi")
+    out = steps.join(told, "node", "left").join(types.withColumnsRenamed({"src": "_from", "dst": "node"}), ["_from", "node"], "left")
+    return out.select(F.lit(True).alias("found"), "step", "node", "name", "file", F.col("line").cast("long").alias("line"), "edge_type")
 
 
 def reverse_impact(module_imports: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -348,7 +348,8 @@ def shortest_path_length(g):
     """The smallest shortest path from the symbol with most callees to the largest key three steps away."""
     seed = _seed(g)
     goal = graph.levels(g.calls(), seed, 3).filter("depth = 3").agg(F.max("node")).first()[0]
-    return graph.shortest_path(g.calls(), seed.first()[0], goal or "", 6).select("depth", F.array_join("path", ",").alias("path"))
+    path = graph.shortest_path(g.calls(), seed.first()[0], goal or "", 6)
+    return g.spark.createDataFrame([(len(path) - 1, ",".join(path))] if path else [], "depth long, path string")
 
 
 ORACLE_SQL["shortest_path_length"] = _recursive(f"""+ {SEED}, walk as (select node, 0::bigint as depth, node as path from seed union all select c.dst, w.depth + 1, w.path || ',' || c.dst from walk w join calls c on c.src = w.node where w.depth < 3),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,52 @@ def latest_per_user_stream(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_newest, "user_id long, event_id long, ts timestamp, event_type string, value double", "ts long, event_id long, event_type string, value double", "update", "NoTimeout")
 
 
+class _Latest:
+    """A user's newest event in a value with a time to live; a timer at event time drops what the watermark has passed."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "ts long, event_id long, event_type string, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        before = best = tuple(self.best.get()) if self.best.exists() else None
+        for pdf in rows:
+            for row in pdf.itertuples(index=False):
+                mine = (int(row.ts.value), int(row.event_id), row.event_type, float(row.value))
+                best = mine if best is None or mine[:2] > best[:2] else best
+        if best != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            self.best.update(best)
+            self.handle.registerTimer(best[0] // 1_000_000 + self.keep_ms)
+            yield pd.DataFrame({"user_id": [key[0]], "event_id": [best[1]], "ts": [pd.Timestamp(best[0])], "event_type": [best[2]], "value": [best[3]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.best.clear()
+        return iter(())
+
+    def handleInitialState(self, key, initialState, timerValues) -> None: ...
+
+    def close(self) -> None: ...
+
+
+def latest_per_user_within(events: DataFrame, keep: timedelta) -> DataFrame:
+    """Streaming, update mode: each user's newest event whenever it changes; a user silent for ``keep`` beyond the
+    watermark is forgotten, so state is bounded by the users of that time. ``events`` need a watermark on ts, and the
+    session a RocksDB state store."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    ms = int(keep.total_seconds() * 1000)
+    processor = type("LatestWithin", (_Latest, StatefulProcessor), {})(ms)
+    rows = events.select("user_id", "event_id", "ts", "event_type", "value")
+    return rows.groupBy("user_id").transformWithStateInPandas(processor, "user_id long, event_id long, ts timestamp, event_type string, value double", "Update", "EventTime")
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what is there now and end; the result is a table in memory, for tests."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
