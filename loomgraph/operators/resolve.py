@@ -17,16 +17,18 @@ FRAMEWORK_MIDDLEWARE, FRAMEWORK_ROUTES = ("use",), ("get", "post", "put", "delet
 HANDLER_IMPORTS = ("aws-lambda", "@types/aws-lambda", "@middy/core", "middy", "serverless-http", "@vendia/serverless-express", "aws-serverless-express", "lambda-api")
 
 
-def file_keys(files: DataFrame) -> DataFrame:
+def file_keys(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Every specifier that reaches a file: its path, that without extension, and its directory for index files.
 
-    One file for each key: an exact path wins, then the first in order of path.
+    One file for each key: an exact path wins, then the first in order of path. Of the ``wanted`` keys only, if given.
     """
     path = F.col("path")
     bare = strip_extension(path)
     index = F.regexp_extract(path, r"^(.*)/(?:index\.tsx?|__init__\.py)$", 1)
     keys = F.array_compact(F.array(F.struct(path.alias("key"), F.lit(0).alias("rank")), F.when(bare != path, F.struct(bare.alias("key"), F.lit(1).alias("rank"))), F.when(index != "", F.struct(index.alias("key"), F.lit(1).alias("rank")))))
-    return files.select("uid", "path", F.explode(keys).alias("k")).groupBy("k.key").agg(F.min_by("uid", F.struct("k.rank", "path")).alias("uid"))
+    found = files.select("uid", "path", F.explode(keys).alias("k"))
+    found = found if wanted is None else found.join(wanted.select(F.col("key").alias("_key")), F.col("k.key") == F.col("_key"), "left_semi")
+    return found.groupBy("k.key").agg(F.min_by("uid", F.struct("k.rank", "path")).alias("uid"))
 
 
 def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:

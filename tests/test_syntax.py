@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import random
 import subprocess
 
 import pytest
@@ -78,6 +79,36 @@ def test_refresh_equals_new_index(spark):
     assert ("c/z.py#fz#FUNCTION", "e/n.py#go#FUNCTION", "CALLS") in rows(again.edges)
 
 
+@pytest.mark.parametrize("seed", [1])
+def test_linking_what_changed_equals_a_new_index(spark, seed):
+    """Random edits: files change, come and go, names become ambiguous or single, imports find or lose their file."""
+    rnd = random.Random(seed)
+    names, places = ["f", "g", "h", "k"], ["a/x", "a/y", "b/y", "b/__init__", "c/d/z", "top", "c/w"]
+
+    def text():
+        lines = [f"from {rnd.choice(['a.x', 'a.y', 'b', 'b.y', 'c.d.z', 'top', 'os'])} import {rnd.choice(names)}" for _ in range(rnd.randint(0, 3))]
+        for name in rnd.sample(names, rnd.randint(0, 3)):
+            lines += [f"def {name}():", f"    {rnd.choice(names)}()", f"    o.{rnd.choice(names)}()"]
+        return "\n".join(lines) or "pass"
+
+    texts = {p: text() for p in places[: 5 + seed]}
+    table = lambda: spark.createDataFrame([(f"{p}.py", str(hash(t)), "python", t) for p, t in texts.items()], FILES)
+    index = indexing.index(table())
+    for _ in range(1 + seed):
+        for p in rnd.sample(places, 3):
+            if p in texts and rnd.random() < 0.4:
+                del texts[p]
+            else:
+                texts[p] = text()
+        again, fresh = indexing.refresh_links(index, table()), indexing.index(table())
+        for name in ("nodes", "edges", "unresolved", "links"):
+            one, two = getattr(again, name), getattr(fresh, name)
+            assert rows(one.select(sorted(one.columns))) == rows(two.select(sorted(two.columns))), name
+        index = fresh
+    same = indexing.refresh_links(index, table())
+    assert rows(same.edges) == rows(index.edges) and rows(same.nodes) == rows(index.nodes)
+
+
 def test_index_of_nothing(spark):
     made = indexing.index(spark.createDataFrame([], FILES))
     assert not rows(made.nodes) and not rows(made.edges) and not rows(made.unresolved)
