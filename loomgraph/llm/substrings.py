@@ -10,8 +10,13 @@ one item for each distinct content of an anchor that has several, and single ite
 There, pieces of bounded size are concatenated, each with an end mark of its own, and their suffixes sorted. From the
 transform, intervals of equal prefixes are extended backward, breadth first: strings of m bytes settle the common
 prefixes of m - 1, in increasing order. Expansion stops at ``length``: neighbours in suffix order whose common prefix
-is unsettled by then share ``length`` bytes or more. An anchor with more distinct contents than a piece may hold (a
-passage in a great many settings) is settled by counting digests of its windows instead, which no task gathers.
+is unsettled by then share ``length`` bytes or more.
+
+An anchor whose distinct contents together pass ``GROUP_BYTES`` (a passage in a great many settings) is divided: its
+windows get a second anchor from the strings at both of their ends, which again depends on the window alone, and runs
+of windows that agree in it are items of their own, of which equal contents are counted and the rest meets in the transform
+by both anchors. What is still too much is divided by ever fewer strings at the ends, down to one: there an item is one
+window (or a period of one byte), which equals another only as a whole.
 
 Defined cases: a null text counts as empty; a text shorter than ``length`` is never touched; rows repeated with their
 identifier are rows of their own, so they are repeats of each other; an empty table gives an empty result; other
@@ -30,6 +35,7 @@ from pyspark.sql import types as T
 from .common import spread, staged, trimmed
 
 LENGTH, GRAM, RUN, PIECE_BYTES, GROUP_BYTES = 400, 48, 512, 2 << 20, 4 << 20
+ENDS = (128, 32, 8, 1)  # strings at either end of a window that make its further anchors
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -274,36 +280,62 @@ def _transformed(contents: DataFrame, length: int, piece: int) -> DataFrame:
     return dealt.mapInArrow(trimmed(run), _schema(_kind(contents), "_h long, _a int, _b int"))
 
 
-def _counted(contents: DataFrame, length: int) -> DataFrame:
-    """The same marks by counting digests of windows: for anchors with more contents than a piece may hold."""
+def _least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The least of every so many neighbours."""
+    return np.lib.stride_tricks.sliding_window_view(hashes, width).min(axis=1)
+
+
+def _divided(contents: DataFrame, length: int, gram: int, ends: int) -> DataFrame:
+    """Items like ``_found_items`` makes, with _one, of contents whose anchor alone gathers too many: by anchors from both ends of each window."""
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                a, content = batch.column(2)[k].as_py(), batch.column(5)[k].as_py()
-                n = len(content) - length + 1
-                digests = [xxhash.xxh3_128_digest(content[j : j + length]) for j in range(n)]
-                same = pa.array([k] * n)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in (0, 1)), pa.array(range(a, a + n), pa.int32()), *(batch.column(c).take(same) for c in (3, 4)), pa.array(digests, pa.binary())], ["_id", "_h", "_a", "_m", "_one", "_d"])
-
-    windows = contents.mapInArrow(trimmed(run), _schema(_kind(contents), "_h long, _a int, _m long, _one boolean, _d binary"))
-    several = windows.groupBy("_m", "_d").count().filter("count > 1")
-    return windows.filter("_one").join(several, ["_m", "_d"], "left_semi").select("_id", "_h", "_a", F.col("_a").alias("_b"))
+            take, out = [], []
+            for k, (a, m, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 5)), strict=True)):
+                grams = _gram_hashes(np.frombuffer(content, np.uint8), gram)
+                n, width = len(content) - length + 1, min(ends, length - gram + 1)
+                first, last = _least(grams, width)[:n], _least(grams, width)[length - gram + 1 - width :][:n]
+                key = (np.uint64(m & (1 << 64) - 1) + first * _BASE) * _MIX
+                key = ((key ^ (key >> np.uint64(29))) + last) * _BASE
+                key ^= key >> np.uint64(31)
+                cut_at = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
+                for i, j in zip(cut_at, [*cut_at[1:], n], strict=True):
+                    again = len(np.unique(grams[i:j])) < j - i  # equal windows begin with equal strings
+                    take.append(k)
+                    out.append((a + i, a + j - 1, int(key[i : i + 1].view(np.int64)[0]), xxhash.xxh3_64_intdigest(content[i : j - 1 + length]) - (1 << 63), again))
+            at = pa.array(take, pa.int64())
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(4).take(at)], ["_id", "_h", "_a", "_b", "_m", "_c", "_r", "_one"])
+
+    return contents.mapInArrow(trimmed(run), _schema(_kind(contents), "_h long, _a int, _b int, _m long, _c long, _r boolean, _one boolean"))
+
+
+def _opened(again: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Of items with _one (its windows aren't settled yet): those to mark whole, as their content stands elsewhere too, and one for each content whose anchor has several or that may repeat itself, with its anchor's _size."""
+    distinct = again.groupBy("_m", "_c").agg(F.count("*").alias("_n"), F.min("_one").alias("_every"), *(F.first(c).alias(c) for c in ("_id", "_h", "_a", "_b", "_r")))
+    whole = again.filter("_one").join(distinct.filter("_n > 1").select("_m", "_c"), ["_m", "_c"], "left_semi").select("_id", "_h", "_a", "_b")
+    one = (F.col("_n") == 1) & F.col("_every")
+    kinds = distinct.groupBy("_m").agg(F.count("*").alias("_k"), F.sum(F.col("_b").cast("long") - F.col("_a") + length).alias("_size"), F.max(F.col("_r") & one).alias("_r")).filter("_k > 1 or _r").drop("_r")
+    return whole, staged(distinct.join(kinds, "_m").select("_id", "_h", "_a", "_b", "_m", one.alias("_one"), "_size"), "open-items")
 
 
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE_BYTES, group: int = GROUP_BYTES) -> DataFrame:
     """_id, _h, _marks (array of _a, _b): inclusive runs of places from which ``length`` bytes are found elsewhere."""
     every = staged(_found_items(docs, length, gram), "items")
     shared = every.groupBy("_m").agg(F.count("*").alias("_n"), F.max("_r").alias("_r")).filter("_n > 1 or _r").select("_m")
-    again = staged(every.join(shared, "_m", "left_semi"), "shared-items")
-    distinct = again.groupBy("_m", "_c").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in ("_id", "_h", "_a", "_b", "_r")))
-    whole = again.join(distinct.filter("_n > 1").select("_m", "_c"), ["_m", "_c"], "left_semi").select("_id", "_h", "_a", "_b")
-    kinds = distinct.groupBy("_m").agg(F.count("*").alias("_k"), F.sum(F.col("_b").cast("long") - F.col("_a") + length).alias("_size"), F.max(F.col("_r") & (F.col("_n") == 1)).alias("_r")).filter("_k > 1 or _r").drop("_r")
-    open_ = staged(distinct.join(kinds, "_m").select("_id", "_h", "_a", "_b", "_m", (F.col("_n") == 1).alias("_one"), "_size"), "open-items")
-    found = _transformed(_contents(docs, open_.filter(F.col("_size") <= group), length), length, piece)
-    if open_.filter(F.col("_size") > group).limit(1).count():
-        found = found.unionByName(_counted(_contents(docs, open_.filter(F.col("_size") > group), length), length))
-    return staged(whole.unionByName(found), "marks").distinct().groupBy("_id", "_h").agg(F.collect_list(F.struct("_a", "_b")).alias("_marks"))
+    again = staged(every.join(shared, "_m", "left_semi").withColumn("_one", F.lit(True)), "shared-items")
+    whole, open_ = _opened(again, length)
+    found = whole.unionByName(_transformed(_contents(docs, open_.filter(F.col("_size") <= group), length), length, piece))
+    for ends in ENDS:
+        large = open_.filter(F.col("_size") > group)
+        if large.isEmpty():
+            break
+        whole, open_ = _opened(staged(_divided(_contents(docs, large, length), length, gram, ends), "divided-items"), length)
+        if ends == ENDS[-1]:  # only periods of one byte have several windows; there are few of them
+            open_ = open_.filter("_a < _b").withColumn("_size", F.lit(0))
+        found = found.unionByName(whole).unionByName(_transformed(_contents(docs, open_.filter(F.col("_size") <= group), length), length, piece))
+    return staged(found, "marks").distinct().groupBy("_id", "_h").agg(F.collect_list(F.struct("_a", "_b")).alias("_marks"))
 
 
 def cut(text: bytes, places: list, length: int) -> tuple[list[tuple[int, int]], bytes]:

@@ -324,7 +324,7 @@ def test_transform_against_brute_force(seed):
 
 @pytest.mark.parametrize(("length", "gram", "piece", "group"), [(400, 48, 1 << 20, 1 << 20), (50, 8, 500, 1 << 20), (50, 8, 500, 0)])
 def test_removal(spark, odd, length, gram, piece, group):
-    """With a group bound of zero, every open anchor takes the counting way."""
+    """With a group bound of zero, every open anchor is divided down to single windows."""
     given = [(r[0], (r[1] or "").encode()) for r in odd_rows()]
     want = sorted(((i, *x) for (i, _), x in zip(given, brute_repeats([t for _, t in given], length))), key=repr)
     got = [(r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.remove(odd, length=length, gram=gram, piece=piece, group=group).collect()]
@@ -344,5 +344,18 @@ def test_repeats_within_one_item(spark, group):
     assert brute_repeats([texts[0].encode()], 400)[0][1] == 600
 
 
+@pytest.mark.parametrize("group", [substrings.GROUP_BYTES, 1 << 12, 1 << 10])
+def test_a_passage_in_many_settings(spark, group):
+    """One anchor gathers far more than its bound: passages shorter and longer than a match, between texts of their own."""
+    rnd = random.Random(17)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passages = [letters(n) for n in (390, 399, 401, 430)]
+    texts = [letters(rnd.randint(0, 120)) + p + letters(rnd.randint(0, 120)) for p in passages for _ in range(12)]
+    texts += [passages[2][:200] + letters(3) + passages[2][203:] + "." * 500, "x" * 700, "x" * 460 + letters(40)]
+    df = spark.createDataFrame([(i, t, None, None, None, *"cccccc") for i, t in enumerate(texts)], KIND)
+    got = [(r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in sorted(substrings.remove(df, group=group).collect(), key=lambda r: r["doc_id"])]
+    assert got == brute_repeats([t.encode() for t in texts], 400)
+
+
 def test_removal_of_nothing(empty):
     assert substrings.remove(empty).count() == 0
