@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.numbers import half_up
 from ..operators import agent, boundary, declarations, docs, gate, graph, incremental, lookup, modules, quality, resolve, seams, trust
-from ..sources.projection import EARLIER, PROJECTION_SQL, Graph, projected
+from ..sources.projection import EARLIER, PROJECTION_SQL, Graph, Staged, projected
 from ..streaming import windows
 from .literals import POLICIES, table, values
 
@@ -19,12 +19,16 @@ ORACLE_SQL: dict[str, str] = {}
 NOW = "2025-01-01T00:00:00Z"
 
 
-def query(sql: str | None = None, plain: bool = False):
-    """Register a query f(g: Graph) with SQL over the projection's tables (or, if ``plain``, over the stored ones)."""
+def query(sql: str | None = None, plain: bool = False, staged: bool = False):
+    """Register a query f(g: Graph) with SQL over the projection's tables (or, if ``plain``, over the stored ones).
+
+    ``staged``: its parts share fact tables that are written once.
+    """
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Graph(spark, sf_dir))
+            g = Graph(spark, sf_dir)
+            return f(Staged(g) if staged else g)
 
         QUERIES[f.__name__] = run
         if sql:
@@ -136,7 +140,7 @@ def stale_boundaries(g):
     (select count(*) from dead d join files f on f.path = d.file where f.module_uid = m.uid and not d.is_test) as dead_symbols, (select count(*) from dead d join files f on f.path = d.file where f.module_uid = m.uid and d.is_test) as dead_test_symbols,
     (select count(*) from dep_edges where source = m.path) as outbound_modules, (select coalesce(sum(import_count), 0)::bigint from dep_edges where source = m.path) as outbound_imports,
     (select count(*) from dep_edges where target = m.path) as inbound_modules, (select coalesce(sum(import_count), 0)::bigint from dep_edges where target = m.path) as inbound_imports,
-    (select count(*) from violations v where v.source = m.path and status = 'violated') as violations from modules m""")
+    (select count(*) from violations v where v.source = m.path and status = 'violated') as violations from modules m""", staged=True)
 def module_rollups(g):
     return modules.module_rollups(g.modules(), g.files(), _edges(g), _rules(g), _dead(g).select("file", "is_test"))
 
@@ -463,14 +467,14 @@ HEALTH = f"""{CHURN}, {FUNCTIONS}, health as (select (select count(*) from files
 UNPIVOT = "select metric, value from (select * from health) unpivot include nulls (value for metric in (files, symbols, calls, mutual_imports, avg_complexity, max_complexity, functions, hotspot_files))"
 
 
-@query()
+@query(staged=True)
 def snapshot_trend(g):
     """Metrics of the snapshot and of the earlier one, with the direction of change."""
 
     def health(x: Graph) -> DataFrame:
         return quality.health(x.files(), x.symbols(), x.calls(), graph.mutual(x.module_imports()), _functions(x), _hotspots(x))
 
-    return quality.trend(health(g), health(Graph(g.spark, g.dir, EARLIER)))
+    return quality.trend(health(g), health(Staged(Graph(g.spark, g.dir, EARLIER))))
 
 
 ORACLE_SQL["snapshot_trend"] = f"""with now_ as ({projected('+ ' + HEALTH + ' ' + UNPIVOT)}), then_ as ({projected('+ ' + HEALTH + ' ' + UNPIVOT, EARLIER)}),
@@ -582,7 +586,7 @@ def gate_obligations(g):
   b as (select count(*) filter (verdict = 'FAIL' and severity = 'fail') as policy_fail, count(*) filter (state = 'missing') as policy_missing, count(*) filter (verdict = 'NOT_COMPARABLE') as policy_not_comparable from gate_facts),
   m as (select unnest(['default', 'strict', 'advisory']) as mode),
   o as (select mode, case when fail > 0 or policy_fail > 0 or (mode = 'strict' and missing_evidence + unsupported + policy_missing + policy_not_comparable > 0) then 'fail' when mode = 'default' and missing_evidence + unsupported + policy_missing + policy_not_comparable > 0 then 'incomplete' else 'pass' end as outcome, a.*, b.* from a, b, m)
-  select *, case outcome when 'fail' then 1 when 'incomplete' then 2 else 0 end::bigint as exit_code from o""")
+  select *, case outcome when 'fail' then 1 when 'incomplete' then 2 else 0 end::bigint as exit_code from o""", staged=True)
 def gate_outcome(g):
     return gate.outcome(_judged(g), _policy_facts(g))
 
@@ -767,7 +771,7 @@ def _axes(g: Graph) -> DataFrame:
     return trust.axes(_triggers(g), _counts(g))
 
 
-@query(f"+ {values('entrypoints')}, {AXES} select * from axes")
+@query(f"+ {values('entrypoints')}, {AXES} select * from axes", staged=True)
 def trust_axes(g):
     return _axes(g)
 

@@ -7,6 +7,8 @@ before a day, which makes an earlier snapshot of the same graph. The same defini
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,31 @@ class Graph:
         return rows.select(F.concat_ws("-", F.lit("U"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_uid"), _uid("P", "l_partkey").alias("source_uid"), category.alias("category"), key.alias("target_key"))
 
 
+class Staged(Graph):
+    """The same tables, each written once under the shared folder when it is first asked for.
+
+    For queries whose parts read the same facts many times: every part scans what is there, with its own columns and
+    filters, in place of projecting it anew; plans stay small, and Spark knows the tables' sizes.
+    """
+
+    def __init__(self, g: Graph):
+        super().__init__(g.spark, g.dir, g.until)
+        self._paths: dict[str, DataFrame] = {}
+
+    def _written(self, name: str) -> DataFrame:
+        from ..operators.graph import shared_folder
+
+        if name not in self._paths:
+            df, path = getattr(Graph, name)(self), f"{shared_folder(self.spark)}/facts-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            self._paths[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self._paths[name]
+
+
+for _name in ("modules", "files", "symbols", "file_imports", "module_imports", "calls", "measurements", "commits"):
+    setattr(Staged, _name, lambda self, name=_name: self._written(name))
+
+
 # The same projection for DuckDB, as common table expressions; {where} restricts line items.
 PROJECTION_SQL = r"""
 li as (select * from lineitem {where}),
