@@ -60,6 +60,23 @@ def test_run(spark, folder):
     assert all(codec.decode(__import__("numpy").array(r["ids"])) == text[r["doc_id"]] for r in got)
 
 
+def test_run_on_nothing(spark, tmp_path):
+    spark.createDataFrame([], KIND).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_missing_and_repeated_identifiers(spark, tmp_path):
+    """Rows without an identifier, rows that share one, whole rows twice: of each text one row stays, none goes for its identifier."""
+    rnd = random.Random(19)
+    good = [prose(rnd, 150) for _ in range(12)]
+    given = [(None, good[0]), (None, good[1]), (None, good[1]), (5, good[2]), (5, good[3]), (5, good[3]), (6, good[4]), (None, good[4]), (7, good[5] + " more"), (5, good[5]), (None, None), (8, None), *((20 + i, t) for i, t in enumerate(good[6:]))]
+    docs = spark.createDataFrame([(i, t, "en", None, None, *"cccccc") for i, t in given], KIND)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in docs.collect())
+    assert kept == sorted((i is None, i or 0, t) for i, t in [(None, good[0]), (None, good[1]), (5, good[2]), (5, good[3]), (6, good[4]), (5, good[5]), *((20 + i, t) for i, t in enumerate(good[6:]))])
+
+
 def test_operators_on_the_given_tables(spark):
     """The registered queries of small tables, as far as SQL states them."""
     import duckdb
@@ -70,7 +87,7 @@ def test_operators_on_the_given_tables(spark):
     if not os.path.isdir(data):
         pytest.skip("needs the test tables")
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "pages"):
         con.sql(f"create view {name} as select * from '{data}/{name}.parquet'")
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, data)
