@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``: quality rules, exact and near deduplication, mixing, encoding."""
+"""A training-data pipeline over ``documents``: quality rules, exact and near deduplication, mixing, encoding.
+
+Defined cases, for all stages: a null text is without words, so the quality rules reject it; a null identifier is one like
+any other but comes last where the smallest stays; rows that share an identifier but not a text are documents of their
+own; of whole rows that stand twice, exact dedup keeps one; a null source is one source, the last; an empty table gives
+an empty result; other columns are carried through all stages but the last.
+"""
 
 from __future__ import annotations
 
