@@ -12,7 +12,7 @@ gives the parent's tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +119,11 @@ def refresh(parent: DataFrame, files: DataFrame) -> Index:
     return link(kept.unionByName(syntax.facts(again)))
 
 
+def stored(made: Index) -> Index:
+    """The same tables written once, as a refresh finds its parent's."""
+    return Index(*(_cut(getattr(made, f.name)) for f in fields(made)))
+
+
 def refresh_links(parent: Index, files: DataFrame) -> Index:
     """An index of ``files`` that extracts and links only what a change since the parent can touch.
 

@@ -144,7 +144,7 @@ def refreshed_edges(g):
 @parsed_query(f", {EDGES} select * from edges union select path || '#g' || n || '#FUNCTION', path || '#f' || n || '#FUNCTION', 'CALLS' from good where n % 3 = 0", among=LEFT)
 def refreshed_edges_by_links(g):
     """The same by linking again only what the change touches."""
-    return indexing.refresh_links(_index(g), _hashed(rows(g, "changed_py_files").filter("n % 11 <> 0"))).edges
+    return indexing.refresh_links(indexing.stored(_index(g)), _hashed(rows(g, "changed_py_files").filter("n % 11 <> 0"))).edges
 
 
 # Interfaces
