@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import _cut
+
 
 def identity(kind, target, detail):
     """The uid of a declaration: equal content has equal uid."""
@@ -31,16 +33,23 @@ def deactivate(stored: DataFrame, uids: DataFrame) -> DataFrame:
     return stored.join(gone, "declaration_uid", "left").withColumn("is_active", F.col("is_active") & F.col("_gone").isNull()).select(*stored.columns)
 
 
-def chains(stored: DataFrame, max_depth: int = 100) -> DataFrame:
-    """declaration_uid, root_uid, depth: how far each declaration is from the first of its chain."""
-    rows = stored.select("declaration_uid", "supersedes_uid")
-    rows.createOrReplaceTempView("_declaration_chain")
-    return stored.sparkSession.sql(f"""
-        with recursive up (declaration_uid, root_uid, depth) max recursion level {max_depth} as (
-          select declaration_uid, declaration_uid, 0L from _declaration_chain where supersedes_uid is null
-          union all
-          select d.declaration_uid, u.root_uid, u.depth + 1 from _declaration_chain d join up u on d.supersedes_uid = u.declaration_uid)
-        select * from up""")
+def chains(stored: DataFrame) -> DataFrame:
+    """declaration_uid, root_uid, depth: how far each declaration is from the first of its chain.
+
+    Uids are unique. Pointers double, so rounds grow with the logarithm of the longest chain. A declaration whose chain
+    begins at one that isn't stored, or runs in a ring, has no first one and no row.
+    """
+    old = F.col("supersedes_uid")
+    state = _cut(stored.select("declaration_uid", F.coalesce(old, "declaration_uid").alias("root_uid"), old.isNotNull().cast("long").alias("depth"), old.isNull().alias("_first")))
+    left = state.filter("not _first").count()
+    while left:
+        ahead = state.select(F.col("declaration_uid").alias("root_uid"), F.col("root_uid").alias("_root"), F.col("depth").alias("_depth"), F.col("_first").alias("_ends"))
+        moved = state.filter("not _first").join(ahead, "root_uid").select("declaration_uid", F.col("_root").alias("root_uid"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_ends").alias("_first"))
+        state = _cut(state.filter("_first").unionByName(moved))
+        before, left = left, state.filter("not _first").count()
+        if left == before:  # each round ends some chain, if any is left; these are rings
+            break
+    return state.filter("_first").drop("_first")
 
 
 def inherit_obligations(prior: DataFrame, new: DataFrame) -> DataFrame:

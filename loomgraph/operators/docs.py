@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, dirname
@@ -36,13 +36,19 @@ def confidence(method: Column, generated: Column) -> Column:
     return F.when(generated, base * GENERATED_FACTOR).otherwise(base)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """path, line, text of lines outside fenced blocks that aren't table rows. ``docs``: path, text."""
-    rows = docs.select("path", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    fence = F.trim("text").startswith("```") | F.trim("text").startswith("~~~")
-    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_fence", fence).withColumn("_n", F.sum(F.col("_fence").cast("int")).over(upto))
-    return rows.filter(~F.col("_fence") & (F.col("_n") % 2 == 0) & ~F.trim("text").startswith("|")).select("path", (F.col("line") + 1).cast("long").alias("line"), "text")
+def lines(docs: DataFrame, wanted: str | None = None) -> DataFrame:
+    """line and text, beside what else ``docs`` (path, text) holds, of lines outside fenced blocks that aren't table rows.
+
+    Only lines that match the expression ``wanted``, if given; others are dropped before anything is asked of them. An
+    opening fence without an end fences all that follows. No shuffle: a line carries where its document's fences are.
+    """
+    fence = lambda x: F.trim(x).startswith("```") | F.trim(x).startswith("~~~")
+    fences = F.array_compact(F.transform(F.split("text", "\n"), lambda x, i: F.when(fence(x), i)))
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*others, fences.alias("_fences"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    rows = rows if wanted is None else rows.filter(F.col("text").rlike(wanted))
+    before = F.size(F.filter("_fences", lambda i: i < F.col("line")))
+    return rows.filter(~fence(F.col("text")) & ~F.trim("text").startswith("|") & (before % 2 == 0)).select(*others, (F.col("line") + 1).cast("long").alias("line"), "text")
 
 
 def clean_reference(x: Column) -> Column:
@@ -57,7 +63,8 @@ def module_like(x: Column) -> Column:
 def keyword_facts(docs: DataFrame) -> DataFrame:
     """path, line, fact_kind, subject, object of every match of every pattern. ``docs``: path, text, subject, generated."""
     # Every pattern ends in a word, so a line that holds none of these can't match; most lines go here.
-    hinted = lines(docs).filter(F.col("text").rlike(r"(?i)replace|supersede|deprecated|instead|alternative|migrat"))
+    hinted = lines(docs, r"(?i)replace|supersede|deprecated|instead|alternative|migrat")
+
     def matches(regex: str, kind: str, subject: int, target: int) -> Column:
         targets = F.regexp_extract_all("text", F.lit(regex), F.lit(target))
         if not subject:
@@ -66,8 +73,8 @@ def keyword_facts(docs: DataFrame) -> DataFrame:
         return F.transform(pairs, lambda p: F.struct(F.lit(kind).alias("fact_kind"), p["s"].alias("s"), p["o"].alias("o")))
 
     each = [matches(*p) for p in PATTERNS]
-    rows = hinted.select("path", "line", F.explode(F.concat(*each)).alias("f")).join(docs.select("path", F.col("subject").alias("_own"), "generated"), "path")
-    s, o = F.coalesce(clean_reference(F.col("f.s")), F.col("_own")), clean_reference(F.col("f.o"))
+    rows = hinted.select("path", "line", "subject", "generated", F.explode(F.concat(*each)).alias("f"))
+    s, o = F.coalesce(clean_reference(F.col("f.s")), F.col("subject")), clean_reference(F.col("f.o"))
     rows = rows.select("path", "line", "f.fact_kind", s.alias("subject"), o.alias("object"), confidence(F.lit("keyword_pattern"), F.col("generated")).alias("confidence"))
     good = (F.col("subject") != F.col("object")) & ~F.lower("subject").isin(*STOP_WORDS) & ~F.lower("object").isin(*STOP_WORDS) & ((F.length("subject") >= 2) | (F.col("subject") == "."))
     return rows.filter(good & module_like(F.col("subject")) & module_like(F.col("object")))

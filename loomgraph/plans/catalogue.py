@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.numbers import half_up
-from ..operators import agent, boundary, declarations, docs, gate, graph, incremental, lookup, modules, quality, resolve, seams, trust
+from ..operators import agent, boundary, docs, gate, graph, incremental, lookup, modules, quality, resolve, seams, trust
 from ..sources.projection import EARLIER, PROJECTION_SQL, Graph, Staged, projected
 from ..streaming import windows
 from .literals import POLICIES, table, values
@@ -548,11 +548,6 @@ def gate_policy_facts(g):
 WAIVERS = f"active as (select * from waivers where is_active and (expires_at is null or expires_at > '{NOW}') qualify row_number() over (partition by req_id, version, obligation_id order by created_at desc, waiver_id) = 1)"
 
 
-@query(f"+ {values('waivers')}, {WAIVERS} select waiver_id, req_id, version, obligation_id from active")
-def waivers_active(g):
-    return gate.active_waivers(table(g.spark, "waivers"), NOW).select("waiver_id", "req_id", "version", "obligation_id")
-
-
 def _judged(g: Graph) -> DataFrame:
     s = g.symbols().join(g.files().select(F.col("uid").alias("file_uid"), "path"), "file_uid")
     complexity = g.measurements().filter("kind = 'cyclomatic_complexity'").select(F.col("target_uid").alias("uid"), F.get_json_object("value_json", "$.value").cast("double").alias("value")).join(s.select("uid", "path"), "uid")
@@ -664,11 +659,6 @@ def resolve_calls(g):
     return resolve.resolve_calls(raw, g.symbols())
 
 
-@query("select * from (values ('i1', 'a/b/c.ts', '../x', 'a/x', 'f6', true), ('i2', 'a/b/c.ts', './d', 'a/b/d', 'f2', true), ('i3', 'a/b/c.ts', 'a/x.ts', 'a/x.ts', 'f1', true), ('i4', 'a/b/c.ts', '../../top', 'top', 'f3', true), ('i5', 'a/b/c.ts', 'lib', 'lib', 'f4', true), ('i6', 'q.py', './pkg', 'pkg', 'f5', true), ('i7', 'q.py', './none', 'none', null, false)) t(edge_uid, source_path, specifier, key, target_uid, resolved)", plain=True)
-def resolve_imports(g):
-    return resolve.resolve_imports(table(g.spark, "imports_raw"), table(g.spark, "source_files"))
-
-
 @query("""select type, case when type = 'IMPORTS' then 'imports_file_not_found' when type = 'INSTANTIATES' then 'instantiates_class_not_found' when type <> 'CALLS' then 'other' when target_key like 'this.%' and target_key like '%.%.%' then 'calls_this_wildcard_method_needs_type_info'
   when target_key like 'this.%' then 'calls_this_method_needs_class_context' when target_key like '%.%' then 'calls_obj_method_needs_type_info' else 'calls_function_ambiguous_or_missing' end as category, count(*) as n
   from (select target_key, case category when 'imports_file_not_found' then 'IMPORTS' when 'instantiates_class_not_found' then 'INSTANTIATES' when 'other' then 'READS' else 'CALLS' end as type from unresolved) group by 1, 2""")
@@ -728,11 +718,6 @@ def http_path_normalize(g):
     return p.unionByName(c).select("uid", paths.http_path(F.col("path")).alias("path"), paths.http_key(F.col("method"), F.col("path")).alias("key"))
 
 
-@query("select * from (values ('c1', 'd1', 'address_match', 0.9::double * 0.9::double), ('c3', 'd3', 'address_match', 0.7::double * 0.9::double), ('c2', 'd2', 'heuristic', 0.8::double * 0.75::double), ('c4', 'd4', 'heuristic', 0.6::double * 0.75::double)) t(provider, consumer, basis, confidence)", plain=True)
-def cli_boundary_links(g):
-    return boundary.match_cli(table(g.spark, "providers_cli"), table(g.spark, "consumers_cli"))
-
-
 # Trust and summaries
 
 TRIGGERS = f"""{TRUST_STATS.lstrip('+ ')}, {PARENTS}, every as (select uid, path from modules union all select uid, path from regions), two as (select distinct a.src as a, a.dst as b from up a join up b on a.src = b.dst and a.dst = b.src where a.src < a.dst),
@@ -845,12 +830,6 @@ def directory_modules(g):
     return modules.directory_modules(g.files())
 
 
-@query("select * from (values ('EUROPE', 0.75::double, 1::bigint), ('NEW/TOP', 0.72, 1)) t(root, confidence, surfaces)", plain=True)
-def promoted_modules(g):
-    taken = table(g.spark, "roots").filter("root = 'ASIA'")
-    return modules.promote_surfaces(table(g.spark, "surfaces"), taken)
-
-
 # Seams, from events
 
 
@@ -906,48 +885,6 @@ def doc_relevance(g):
     return docs.relevance(_docs(g), focus)
 
 
-@query("""select * from (values ('a/README.md', 1::bigint, 'replacement_for', 'new-core', 'old-core', 0.7::double), ('a/README.md', 2, 'deprecated_by', 'a/core', 'new_api', 0.7), ('c/x.md', 1, 'alternative_to', 'Foo-bar', 'Baz-qux', 0.7), ('c/x.md', 2, 'migration_path', 'MyOld', 'MyNew', 0.7),
-  ('b/MAP.md', 1, 'migration_path', 'lib-a', 'lib-b', 0.7::double * 0.8::double)) t(path, line, fact_kind, subject, object, confidence)""", plain=True)
-def keyword_facts(g):
-    return docs.keyword_facts(table(g.spark, "doc_lines"))
-
-
-@query("select * from (values ('a/README.md', 7::bigint, 'replaces', 'old/core'), ('a/README.md', 7, 'owner', 'team')) t(path, line, directive, argument)", plain=True)
-def marker_facts(g):
-    return docs.marker_facts(table(g.spark, "doc_lines"))
-
-
-@query("select method, generated, case when generated then base * 0.8::double else base end as confidence from (values ('explicit_marker', 0.95::double), ('frontmatter', 0.9), ('config_parse', 0.9), ('keyword_pattern', 0.7)) a(method, base), (values (true), (false)) b(generated)", plain=True)
-def fact_confidence(g):
-    rows = g.spark.createDataFrame([(m, x) for m in docs.CONFIDENCE for x in (True, False)], "method string, generated boolean")
-    return rows.withColumn("confidence", docs.confidence(F.col("method"), F.col("generated")))
-
-
-@query("select * from (values ('a/./b', 'a/b'), ('a/../b', 'b'), ('../a', 'a'), ('a//b/', 'a/b'), ('a/b/../../c/d', 'c/d'), ('', '')) t(raw, path)", plain=True)
-def relative_path_resolve(g):
-    rows = g.spark.createDataFrame([(x,) for x in ("a/./b", "a/../b", "../a", "a//b/", "a/b/../../c/d", "")], "raw string")
-    return rows.withColumn("path", paths.resolve_relative(F.col("raw")))
-
-
-@query("select * from (values ('@app/core', true), ('@lib', true), ('lodash', false), ('@library', false)) t(specifier, matched)", plain=True)
-def alias_match(g):
-    rows = g.spark.createDataFrame([(x,) for x in ("@app/core", "@lib", "lodash", "@library")], "specifier string")
-    return rows.withColumn("matched", paths.alias_matches(F.col("specifier"), F.array(F.lit("@app/*"), F.lit("@lib"), F.lit("*"))))
-
-
-# Declarations
-
-
-@query(f"with {values('declarations')} select kind, count(*) as n, count(*) filter (is_active) as active from declarations group by 1", plain=True)
-def active_declarations(g):
-    return table(g.spark, "declarations").groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_active"), 1)).alias("active"))
-
-
-@query(f"with recursive {values('declarations')}, up as (select declaration_uid, declaration_uid as root_uid, 0::bigint as depth from declarations where supersedes_uid is null union all select d.declaration_uid, u.root_uid, u.depth + 1 from declarations d join up u on d.supersedes_uid = u.declaration_uid) select * from up", plain=True)
-def superseded_chain(g):
-    return declarations.chains(table(g.spark, "declarations"))
-
-
 # Refresh
 
 

@@ -32,26 +32,9 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             ("w4", "REQ-1", 1, "o3", True, None, "2024-01-01T00:00:00Z"), ("w5", "REQ-2", 1, "o3", False, None, "2024-01-01T00:00:00Z"),
         ],
     ),
-    "providers_cli": ("uid string, address string", [("c1", "Build Docs"), ("c2", "run tests"), ("c3", "lint"), ("c4", "deploy prod")]),
-    "consumers_cli": ("uid string, address string, confidence double", [("d1", "build docs", 0.9), ("d2", "npm run tests", 0.8), ("d3", " LINT ", 0.7), ("d4", "tool deploy prod", 0.6), ("d5", "npm nothing here", 0.5)]),
     "evidence": ("module_uid string, source string, confidence double", [("M0", "package_json", 0.9), ("M0", "cargo", 0.95), ("M1", "cargo", 0.8), ("M1", "gradle", 0.8), ("M2", "directory", 0.6)]),
-    "surfaces": ("root string, kind string, confidence double", [("ASIA", "cli", 0.9), ("ASIA", "worker", 0.8), ("EUROPE", "web_app", 0.75), ("AFRICA", "cli", 0.5), ("AMERICA", "library", 0.9), ("NEW/TOP", "backend_service", 0.72)]),
     "roots": ("root string, module_uid string, kind string", [(".", "root", "inferred"), ("ASIA", "asia", "declared"), ("ASIA", "asia2", "operational"), ("EUROPE", "europe", "operational"), ("EUROPE/NATION_3", "third", "inferred"), ("AFRICA/NATION_0", "first", "declared"), ("NOWHERE", "none", "declared")]),
     "bindings": ("identifier string, specifier string, relative boolean", [("lodash", "lodash", False), ("helper", "./helper", True), ("app", "express", False), ("local", "@app/local", False)]),
-    "declarations": (
-        "declaration_uid string, kind string, target string, supersedes_uid string, is_active boolean",
-        [("a1", "boundary", "M0", None, False), ("a2", "boundary", "M0", "a1", False), ("a3", "boundary", "M0", "a2", True), ("b1", "waiver", "M1", None, True), ("c1", "owner", "M2", None, False)],
-    ),
-    "doc_lines": (
-        "path string, text string, subject string, generated boolean",
-        [
-            ("a/README.md", "new-core replaces old-core\nuse new_api instead of it\n```\nx-y replaces y-z\n```\n| a-b replaces b-c |\n<!-- rg:replaces old/core --> <!-- rg:owner team -->", "a/core", False),
-            ("b/MAP.md", "migrate from lib-a to lib-b.\nthis is deprecated in favor of pkg/new\nthe alternative to it", "b", True),
-            ("c/x.md", "Foo-bar and Baz-qux are alternatives\nmigration from MyOld to MyNew", "c-mod", False),
-        ],
-    ),
-    "imports_raw": ("edge_uid string, source_path string, specifier string", [("i1", "a/b/c.ts", "../x"), ("i2", "a/b/c.ts", "./d"), ("i3", "a/b/c.ts", "a/x.ts"), ("i4", "a/b/c.ts", "../../top"), ("i5", "a/b/c.ts", "lib"), ("i6", "q.py", "./pkg"), ("i7", "q.py", "./none")]),
-    "source_files": ("uid string, path string", [("f1", "a/x.ts"), ("f2", "a/b/d.tsx"), ("f3", "top.js"), ("f4", "lib/index.ts"), ("f5", "pkg/__init__.py"), ("f6", "a/x.js")]),
 }
 
 POLICIES = [

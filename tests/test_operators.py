@@ -176,6 +176,13 @@ def test_declarations(spark):
     assert rows(declarations.deactivate(stored, stored.select("declaration_uid")).filter("is_active")) == []
 
 
+def test_chains_of_any_length_without_rings_and_strays(spark):
+    links = [("d0", None), *((f"d{i}", f"d{i - 1}") for i in range(1, 130)), ("r1", "r2"), ("r2", "r1"), ("tail", "r1"), ("stray", "gone"), ("after", "stray"), ("alone", None)]
+    got = rows(declarations.chains(spark.createDataFrame(links, "declaration_uid string, supersedes_uid string")))
+    assert got == sorted([("alone", "alone", 0), *((f"d{i}", "d0", i) for i in range(130))], key=repr)
+    assert rows(declarations.chains(spark.createDataFrame([], "declaration_uid string, supersedes_uid string"))) == []
+
+
 def test_obligations_keep_ids(spark):
     kind = "obligation_id string, obligation string, method string, target string, threshold double, operator string"
     prior = spark.createDataFrame([("id1", "cover", "coverage_threshold", "a", 0.5, ">=")], kind)
@@ -194,6 +201,14 @@ def test_keyword_rules(spark):
     assert rows(docs.keyword_facts(df).select("line", "subject", "object")) == [(3, "own-mod", "_x")]
 
 
+def test_lines_outside_fences(spark):
+    """A repeated path is two documents; a fence that isn't closed fences the rest."""
+    texts = [("p", "a\n```\nb\n ~~~x\nc\n | d |\n~~~\ne", 1), ("p", "f\n\n```", 2), ("q", None, 3), ("r", "", 4)]
+    got = rows(docs.lines(spark.createDataFrame(texts, "path string, text string, extra int")).select("path", "extra", "line", "text"))
+    assert got == [("p", 1, 1, "a"), ("p", 1, 5, "c"), ("p", 2, 1, "f"), ("p", 2, 2, ""), ("r", 4, 1, "")]
+    assert rows(docs.lines(spark.createDataFrame(texts, "path string, text string, extra int"), "[ce]").select("line", "text")) == [(5, "c")]
+
+
 def test_relevance_tiers(spark):
     df = spark.createDataFrame([("a/b/README.md", "readme", False), ("a/b/c/x.md", "architecture", False), ("a/y.md", "architecture", True), ("README.md", "readme", False), ("z/q.md", "readme", False)], "path string, kind string, generated boolean")
     got = {r["path"]: r["priority"] for r in docs.relevance(df, spark.createDataFrame([("a/b",)], "focus string")).collect()}
