@@ -191,8 +191,8 @@ def assessment_uid(snapshot, policy, baseline):
     return F.concat(snapshot, F.lit("-qpa-"), policy, F.when(baseline.isNotNull(), F.concat(F.lit("-vs-"), baseline)).otherwise(""))
 
 
-def measured_facts(measurements: DataFrame, nodes: DataFrame, files: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Measurements of some kinds with what policies' scopes ask of them; a value that is no number has none."""
-    rows = measurements.filter(F.col("kind").isin(*kinds)).select(F.col("target_stable_key").alias("target"), F.col("kind"), json_number(F.col("value_json")).alias("value"))
+def measured_facts(measurements: DataFrame, nodes: DataFrame, files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Measurements (of some kinds, if given) with what policies' scopes ask of them; a value that is no number has none."""
+    rows = (measurements if kinds is None else measurements.filter(F.col("kind").isin(*kinds))).select(F.col("target_stable_key").alias("target"), F.col("kind"), json_number(F.col("value_json")).alias("value"))
     named = nodes.select(F.col("stable_key").alias("target"), F.col("subtype").alias("symbol_kind"), "file_uid").join(files.select("file_uid", F.col("path").alias("file")), "file_uid", "left")
     return rows.join(named, "target", "left").withColumn("module", F.regexp_extract("file", r"^(.*)/[^/]*$", 1)).drop("file_uid")

@@ -8,10 +8,10 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans import graph_catalogue, rule_catalogue, source_catalogue, store_catalogue, stored_catalogue
+from loomgraph.plans import graph_catalogue, report_catalogue, rule_catalogue, source_catalogue, store_catalogue, stored_catalogue
 from loomgraph.plans.catalogue import ORACLE_SQL, QUERIES
 
-assert rule_catalogue and stored_catalogue and source_catalogue and graph_catalogue and store_catalogue  # register their queries
+assert report_catalogue and rule_catalogue and stored_catalogue and source_catalogue and graph_catalogue and store_catalogue  # register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
