@@ -10,7 +10,7 @@ import pytest
 from helpers import rows
 
 from loomgraph.functions.paths import glob_regex
-from loomgraph.operators import assessment, impact
+from loomgraph.operators import assessment, impact, trust
 from loomgraph.sources.versioned import VersionedStore
 
 POLICY = "policy_uid string, policy_kind string, measurement_kind string, threshold double, scope_clauses array<struct<clause_kind:string,selector:string>>"
@@ -102,3 +102,22 @@ def test_impact_of_a_diff(spark):
     assert impact.diff_arguments("staged") == ["diff", "--cached", "--name-status"] and impact.diff_arguments("since_ref", ref="v1")[-1] == "v1"
     with pytest.raises(ValueError, match="basis"):
         impact.diff_arguments("against_snapshot")
+
+
+def test_trust_report(spark):
+    triggers = spark.createDataFrame([(False, True, False, False)], "framework_heavy boolean, registry_pattern boolean, missing_entrypoints boolean, alias_resolution boolean")
+    seen = [("calls_obj_method_needs_type_info", "unknown", "medium")] * 3 + [("calls_function_ambiguous_or_missing", "external_library_candidate", "low")] * 2 + [("strange", "unknown", "not_applicable")] * 2
+    stats = spark.createDataFrame([("a", 0, 0, 2), ("b", 1, 0, 1), (".", 0, 0, 9)], "module string, fan_in long, fan_out long, file_count long")
+    made = lambda rows_: trust.report(triggers, trust.tallied(spark.createDataFrame(rows_, "category string, classification string, blast_radius string")), spark.createDataFrame([(1,)], "resolved_calls long"), stats).collect()
+    got = {}
+    for r in sorted(made(seen), key=lambda r: (r["section"], r["rank"] or 0, r["name"] or "")):
+        got.setdefault(r["section"], []).append((r["name"], r["detail"], r["value"]))
+    assert [v for _, _, v in got["summary"]] == [1, 7, 5, 2, 0, 3, 0.25]
+    assert got["categories"] == [("calls_obj_method_needs_type_info", "CALLS obj.method (needs type info)", 3), ("calls_function_ambiguous_or_missing", "CALLS function (ambiguous or missing)", 2), ("strange", "strange", 2)]
+    assert got["classifications"] == [("unknown", None, 5), ("external_library_candidate", None, 2)]
+    assert got["blast_radius"] == [("low", None, 0), ("medium", None, 3), ("high", None, 0)]
+    assert got["modules"] == [(".", None, 9), ("a", "alias_resolution_candidate", 2), ("b", None, 1)]
+    assert got["reliability"] == [("import_graph", "MEDIUM: registry_pattern_suspicion", None), ("call_graph", "LOW: call_resolution_rate=25.0%_below_50%", None), ("change_impact", "LOW: registry_pattern_suspicion", None)]
+    assert [d.split(".")[0] for _, d, _ in got["caveats"]] == ["Call-graph reliability is LOW on this repo", "Import-graph reliability is MEDIUM", "Change-impact reliability is LOW", "Cycle payloads currently emit leaf module names only; full stable keys are not in the user-facing `graph cycles` output"]
+    empty = {(r["section"], r["name"]): r["value"] for r in made([])}
+    assert empty["summary", "call_resolution_rate"] == 1 and empty["blast_radius", "low"] == 0
