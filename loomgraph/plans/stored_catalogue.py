@@ -439,8 +439,9 @@ def surface_resolution(g):
 
 @stored_query("""select root, kind, name, first(detail order by confidence desc, source) as entrypoint, max(confidence) as confidence, string_agg(distinct source, ',' order by source) as sources from surface_rows group by 1, 2, 3""", "surface_rows")
 def merged_surfaces(g):
-    one = rows(g, "surface_rows").groupBy("root", "kind", "name", "sort", "source", "confidence").agg(F.min("detail").alias("detail"))
-    return discovery.merged_surfaces(one).withColumn("sources", F.array_join("sources", ","))
+    """Of surfaces with equal confidence and source the first supplier's is the entry point."""
+    first = rows(g, "surface_rows").withColumn("ord", F.substring("uid", 4, 20).cast("long"))
+    return discovery.merged_surfaces(first).withColumn("sources", F.array_join("sources", ","))
 
 
 @stored_query(""", p as (select *, case when trim(regexp_replace(root, '^\\./|/+$', '', 'g')) = '' then '.' else regexp_replace(root, '^\\./|/+$', '', 'g') end as path, case kind when 'declared' then 0 when 'operational' then 1 else 2 end as r from found_roots)

@@ -48,6 +48,13 @@ def test_tables(spark):
     assert rows(discovery.merged_surfaces(twice).select("confidence", "sources")) == [(0.9, ["other", "package_json_main"])]
 
 
+def test_equal_surfaces_in_order(spark):
+    """Of equal confidence and source the first in order counts, not the least text; without an order the least text."""
+    df = spark.createDataFrame([("r", "cli", None, "surface", "a", f"e{k}", 0.6, k) for k in (2040, 60, 300)], "root string, kind string, name string, sort string, source string, detail string, confidence double, ord long")
+    assert discovery.merged_surfaces(df).first()["entrypoint"] == "e60"
+    assert discovery.merged_surfaces(df.drop("ord")).first()["entrypoint"] == "e2040"
+
+
 def test_state_bindings(spark):
     calls = spark.createDataFrame([("e1", "s1", "f1", "typescript", "fs", "readFile", "a.txt", True), ("e2", "s2", "f1", "typescript", "fs", "writeFile", "a.txt", False), ("e3", "s1", "f2", "typescript", "fs", "readFile", "b", True), ("e4", "s1", "f1", "typescript", "fs", "stat", "c", True), ("e5", "s1", "f1", "typescript", "fs", "readFile", "", True)], "edge_uid string, source_uid string, file_uid string, language string, module string, symbol string, logical_name string, literal boolean")
     imports = spark.createDataFrame([("f1", "fs"), ("f1", "fs"), ("f2", "path")], "file_uid string, module string")
