@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import one_decimal
+
 MARKER = "\n[truncated]"
 
 
@@ -15,9 +17,9 @@ def top_types(samples: DataFrame, most: int = 15) -> DataFrame:
     return samples.filter("receiver_type is not null").groupBy("receiver_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "receiver_type").limit(most)
 
 
-def percent(share: Column) -> Column:
-    """A share as a percentage with one decimal."""
-    return F.format_string("%.1f%%", share * 100)
+def percent(part: Column, whole: Column | None = None) -> Column:
+    """A share (or a part of a whole) as a percentage with one decimal; null where it has no value."""
+    return F.concat(one_decimal(part * 100.0 if whole is None else part * 100.0 / F.nullif(whole, F.lit(0))), F.lit("%"))
 
 
 def iso(moment: Column) -> Column:

@@ -496,7 +496,7 @@ def enrichment_top_types(g):
 @query("select f.path, count(*) as symbols, printf('%.1f%%', 100.0 * count(*) filter (visibility = 'export') / count(*)) as exported from symbols s join files f on f.uid = s.file_uid group by 1")
 def exported_share(g):
     joined = g.symbols().join(g.files().select(F.col("uid").alias("file_uid"), "path"), "file_uid")
-    return joined.groupBy("path").agg(F.count("*").alias("symbols"), reports.percent(F.count(F.when(F.col("visibility") == "export", 1)) / F.count("*")).alias("exported"))
+    return joined.groupBy("path").agg(F.count("*").alias("symbols"), reports.percent(F.count(F.when(F.col("visibility") == "export", 1)), F.count("*")).alias("exported"))
 
 
 @query("select s.uid as query, s.uid || ' ' || s.name || ' (' || s.subtype || ')' || coalesce(' ' || f.path || ':' || s.line_start, '') as line from symbols s left join files f on f.uid = s.file_uid")

@@ -40,6 +40,15 @@ def test_iso_and_percent(spark):
     assert tuple(df.select(reports.iso(F.col("t")), reports.percent(F.col("s"))).first()) == ("2024-02-03T04:05:06Z", "33.3%")
 
 
+def test_percent_rounds_the_double_and_ties_to_even(spark):
+    """As C's printf does; Spark's own format gives 6.3, 15.0 and 18.8, 0.3."""
+    pairs = [(1, 16), (299, 2000), (3, 16), (1, 400), (0, 3), (7, 7), (0, 0)] + [(k, n) for n in (16, 40, 80, 97, 2000) for k in range(0, n, 3)]
+    df = spark.createDataFrame(pairs, "k long, n long").coalesce(1)
+    got = [r[0] for r in df.select(reports.percent(F.col("k"), F.col("n"))).collect()]
+    assert got[:4] == ["6.2%", "14.9%", "18.8%", "0.2%"]
+    assert got == [f"{100.0 * k / n:.1f}%" if n else None for k, n in pairs]
+
+
 def test_accesses_by_key_then_name(spark):
     edges = spark.createDataFrame([("e1", "K1"), ("e2", "users"), ("e3", "twice"), ("e4", "fn"), ("e5", None)], "edge_uid string, target_key string")
     nodes = spark.createDataFrame([("n1", "K1", "a", "TABLE"), ("n2", "K2", "users", "TABLE"), ("n3", "K3", "twice", "BLOB"), ("n4", "K4", "twice", "STATE"), ("n5", "K5", "fn", "SYMBOL")], "uid string, stable_key string, name string, kind string")
