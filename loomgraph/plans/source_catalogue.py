@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import declarations, docs, indexing, interfaces, policy, reports, resolve, syntax
 from ..sources import files
 from ..sources.projection import Graph
-from .stored_catalogue import STORED, rows, stored_query
+from .stored_catalogue import STORED, rows, stored_query, texts
 
 
 def _text(*lines: str) -> str:
@@ -50,7 +50,7 @@ STORED |= {
 
 
 def _facts(g: Graph, table: str = "py_files") -> DataFrame:
-    return syntax.facts(_hashed(rows(g, table)))
+    return syntax.facts(_hashed(texts(g, table)))
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ edges as (select path as src, to_path as dst, 'IMPORTS' as type from targets
 
 
 def _index(g: Graph) -> indexing.Index:
-    return indexing.index(_hashed(rows(g, "py_files")))
+    return indexing.index(_hashed(texts(g, "py_files")))
 
 
 @parsed_query("""select path as uid, 'FILE' as kind, null as subtype, 'm' || n || '.py' as name, path from all_files
@@ -138,13 +138,13 @@ LEFT = "n % 11 <> 0"
 @parsed_query(f", {EDGES} select * from edges union select path || '#g' || n || '#FUNCTION', path || '#f' || n || '#FUNCTION', 'CALLS' from good where n % 3 = 0", among=LEFT)
 def refreshed_edges(g):
     """After some files changed and others went: what an index of the files left would hold."""
-    return indexing.refresh(_facts(g), _hashed(rows(g, "changed_py_files").filter("n % 11 <> 0"))).edges
+    return indexing.refresh(_facts(g), _hashed(texts(g, "changed_py_files").filter("n % 11 <> 0"))).edges
 
 
 @parsed_query(f", {EDGES} select * from edges union select path || '#g' || n || '#FUNCTION', path || '#f' || n || '#FUNCTION', 'CALLS' from good where n % 3 = 0", among=LEFT)
 def refreshed_edges_by_links(g):
     """The same by linking again only what the change touches."""
-    return indexing.refresh_links(indexing.stored(_index(g)), _hashed(rows(g, "changed_py_files").filter("n % 11 <> 0"))).edges
+    return indexing.refresh_links(indexing.stored(_index(g)), _hashed(texts(g, "changed_py_files").filter("n % 11 <> 0"))).edges
 
 
 # Interfaces
@@ -152,22 +152,22 @@ def refreshed_edges_by_links(g):
 
 @stored_query("""select path, line, method, address from route_files, lateral (values (3, 'GET', '/api/v' || (n % 3) || '/items/{id}'), (4, 'POST', '/x' || n), (6, 'PUT', '/api/v' || (n % 3))) v(line, method, address)""", "route_files")
 def routes_in_source(g):
-    return interfaces.routes(rows(g, "route_files"))
+    return interfaces.routes(texts(g, "route_files"))
 
 
 @stored_query("""select path, line, client, method, address, basis, confidence::double as confidence from request_files, lateral (values (2, 'axios', 'GET', '/u/{param}', 'template', 0.8), (3, 'fetch', 'POST', '/f' || n, 'literal', 0.9), (5, 'axios', 'PUT', '/p' || n, 'template', 0.85)) v(line, client, method, address, basis, confidence)""", "request_files")
 def requests_in_source(g):
-    return interfaces.requests(rows(g, "request_files"))
+    return interfaces.requests(texts(g, "request_files"))
 
 
 @stored_query("""select path, line, method, address from java_files, lateral (values (4, 'GET', '/api/c' || n || '/{id}'), (6, 'PUT', '/api/c' || n || '/m'), (8, 'POST', '/api/c' || n)) v(line, method, address)""", "java_files")
 def annotated_routes(g):
-    return interfaces.annotated_routes(rows(g, "java_files"))
+    return interfaces.annotated_routes(texts(g, "java_files"))
 
 
 @stored_query("select path, 4 as line, 'repo' || n || ' add' as address, 'add <path>' as raw, 'Adds' as description from command_files", "command_files")
 def commands_in_source(g):
-    return interfaces.commands(rows(g, "command_files"))
+    return interfaces.commands(texts(g, "command_files"))
 
 
 # Policy facts
@@ -175,19 +175,19 @@ def commands_in_source(g):
 
 @stored_query("""select path, 'map_res' as function_name, 1 as line_start, 8 as line_end, 'code_t' as source_type, 'op_res_t' as target_type, 'A' || n || ',B' as inputs, 'X' || n as output, 'BAD' as default_output from c_files""", "c_files")
 def status_mappings(g):
-    return policy.status_mappings(rows(g, "c_files")).withColumn("m", F.explode("mappings")).select("path", "function_name", "line_start", "line_end", "source_type", "target_type", F.array_join("m.inputs", ",").alias("inputs"), "m.output", "default_output")
+    return policy.status_mappings(texts(g, "c_files")).withColumn("m", F.explode("mappings")).select("path", "function_name", "line_start", "line_end", "source_type", "target_type", F.array_join("m.inputs", ",").alias("inputs"), "m.output", "default_output")
 
 
 @stored_query("""select path, 'fetch_it' as function_name, 'RETRY_LOOP' as kind, 12 as line_start, 16 as line_end, 'for' as form, 'sleep' as value, (n % 4 + 1) * 1000 as delay_ms, n % 5 + 1 as max_attempts, 'rc == 0' as break_condition from c_files
   union all select path, 'fetch_it', 'RESUME_OFFSET', 17, 17, 'CURLOPT_RESUME_FROM', 'off' || n, null, null, null from c_files""", "c_files")
 def behavioral_markers(g):
-    return policy.behavioral_markers(rows(g, "c_files"))
+    return policy.behavioral_markers(texts(g, "c_files"))
 
 
 @stored_query("""select path, 'fetch_it' as caller, callee, line, fate, detail, callee = 'map_res' as own from c_files, (values ('get_it', 13, 'STORED', 'rc'), ('sleep', 15, 'IGNORED', null), ('curl_easy_setopt', 17, 'IGNORED', null), ('check', 18, 'CHECKED', 'if'),
   ('log_it', 18, 'IGNORED', null), ('fmt', 18, 'TRANSFORMED', 'log_it'), ('ignored', 20, 'IGNORED', 'void'), ('map_res', 21, 'PROPAGATED', null)) v(callee, line, fate, detail)""", "c_files")
 def return_fates(g):
-    return policy.fates(rows(g, "c_files"))
+    return policy.fates(texts(g, "c_files"))
 
 
 # Documents, declarations, changes
@@ -195,12 +195,12 @@ def return_fates(g):
 
 @stored_query("""select path, v.fact_kind, 'd' || n as subject, v.object, 0.9::double * case when generated then 0.8 else 1 end as confidence from front_docs, lateral (values (0, 'replacement_for', 'old-' || n), (0, 'deprecated_by', null), (1, 'deprecated_by', 'new-' || n), (2, 'alternative_to', 'other')) v(r, fact_kind, object) where n % 4 = r""", "front_docs")
 def front_matter_facts(g):
-    return docs.front_matter_facts(rows(g, "front_docs"))
+    return docs.front_matter_facts(texts(g, "front_docs"))
 
 
 @stored_query("""select path, s as subject, case n % 3 when 0 then 'production' when 1 then 'staging' else 'default' end as environment, 0.9::double as confidence from config_docs, lateral (values (0, 'api' || n), (0, 'db'), (1, 'app' || n), (2, 'api' || n), (2, 'db')) v(r, s) where n % 3 = r""", "config_docs")
 def environment_facts(g):
-    return docs.environment_facts(rows(g, "config_docs"))
+    return docs.environment_facts(texts(g, "config_docs"))
 
 
 @stored_query("""select repo_uid, 'waiver' as kind, case when e is null then repo_uid || ':waiver:' || req_id || '#' || obligation_id end as target_stable_key,

@@ -74,6 +74,13 @@ def rows(g: Graph, name: str) -> DataFrame:
     return g.table(source).selectExpr(*expressions)
 
 
+def texts(g: Graph, name: str) -> DataFrame:
+    """The same for texts: a few bytes of keys hold many of them, so keys are dealt over tasks before texts are made."""
+    source, expressions = STORED[name]
+    keys = g.table(source)
+    return graph.dealt(keys, keys.columns[0]).selectExpr(*expressions)
+
+
 def ctes(*names: str) -> str:
     return ", ".join(f"{n} as (select {', '.join(STORED[n][1])} from {STORED[n][0]})" for n in names)
 
