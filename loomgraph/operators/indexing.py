@@ -8,18 +8,22 @@ Edges, nodes and unresolved references of untouched sources are copied. Both giv
 Defined cases: a null text counts as empty; files that don't parse are files without symbols; an import that two files
 answer goes to the exact path before the one without extension; an empty table gives empty tables; a change of nothing
 gives the parent's tables.
+
+Files, references and symbols are of any number and come out of few bytes, which Spark's estimate of sizes can't know:
+facts are written before they are linked, so that files are parsed once, and joins of such tables ask for sorted merges,
+so that none is collected for a broadcast.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import dirname
 from . import incremental, resolve, syntax
-from .graph import _cut
+from .graph import written
 
 
 @dataclass(frozen=True)
@@ -61,15 +65,15 @@ def _asked(facts: DataFrame) -> DataFrame:
 
 
 def _linked_imports(asked: DataFrame, keys: DataFrame) -> DataFrame:
-    return asked.join(keys.select(F.col("key").alias("target_key"), F.col("uid").alias("target_uid")), "target_key", "left").select(*LINK)
+    return asked.join(keys.select(F.col("key").alias("target_key"), F.col("uid").alias("target_uid")).hint("merge"), "target_key", "left").select(*LINK)
 
 
 def _linked_calls(asked: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """``imports``: linked imports of all files that have a call here."""
     reached = imports.filter("target_uid is not null").select("path", "target_uid").distinct()
-    seen = asked.select("edge_uid", "path").join(reached, "path").select("edge_uid", F.col("target_uid").alias("file_uid"))
+    seen = asked.select("edge_uid", "path").join(reached.hint("merge"), "path").select("edge_uid", F.col("target_uid").alias("file_uid"))
     called = resolve.resolve_calls(asked, symbols.withColumn("file_uid", F.col("path")), seen).select("edge_uid", "target_uid")
-    return asked.join(called, "edge_uid").select(*LINK)
+    return asked.join(called.hint("merge"), "edge_uid").select(*LINK)
 
 
 def _nodes(paths: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ def _plain_edges(links: DataFrame) -> DataFrame:
 def _module_edges(homes: DataFrame, imports: DataFrame) -> DataFrame:
     """What modules own, and which others their files import; ``homes``: path, module of the sources."""
     reached = imports.filter("target_uid is not null").select("path", F.col("target_uid").alias("_file")).distinct()
-    across = reached.join(homes, "path").withColumn("_to", _module(F.col("_file"))).filter("module <> _to").select(_owner("module").alias("src"), _owner("_to").alias("dst"), F.lit("IMPORTS").alias("type")).distinct()
+    across = reached.join(homes.hint("merge"), "path").withColumn("_to", _module(F.col("_file"))).filter("module <> _to").select(_owner("module").alias("src"), _owner("_to").alias("dst"), F.lit("IMPORTS").alias("type")).distinct()
     return across.unionByName(homes.select(_owner("module").alias("src"), F.col("path").alias("dst"), F.lit("OWNS").alias("type")))
 
 
@@ -107,7 +111,7 @@ def link(facts: DataFrame) -> Index:
 
 def index(files: DataFrame) -> Index:
     """``files``: path, content_hash, language, text."""
-    return link(syntax.facts(files))
+    return link(written(syntax.facts(files)))
 
 
 def refresh(parent: DataFrame, files: DataFrame) -> Index:
@@ -116,12 +120,19 @@ def refresh(parent: DataFrame, files: DataFrame) -> Index:
     plan = incremental.invalidation(old, files.select(F.col("path").alias("file_uid"), "path", "content_hash"))
     again = files.join(plan.filter("action = 'extract'").select("path"), "path", "left_semi")
     kept = parent.join(plan.filter("action = 'copy'").select("path"), "path", "left_semi")
-    return link(kept.unionByName(syntax.facts(again)))
+    return link(written(kept.unionByName(syntax.facts(again))))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return written(df).hint("merge")
 
 
 def stored(made: Index) -> Index:
-    """The same tables written once, as a refresh finds its parent's."""
-    return Index(*(_cut(getattr(made, f.name)) for f in fields(made)))
+    """The same tables written once, as a refresh finds its parent's. Links are made once; edges and the unresolved come from them."""
+    facts, links = written(made.facts), written(made.links)
+    homes = facts.select("path", _module(F.col("path")).alias("module"))
+    edges = _plain_edges(links).unionByName(_module_edges(homes, links.filter("type = 'IMPORTS'")))
+    return Index(facts, written(made.nodes), written(edges), written(_unresolved(links)), links)
 
 
 def refresh_links(parent: Index, files: DataFrame) -> Index:
@@ -131,44 +142,44 @@ def refresh_links(parent: Index, files: DataFrame) -> Index:
     untouched files only those that the change names are joined with symbols or files.
     """
     old = parent.facts.select(F.col("path").alias("file_uid"), "path", "content_hash")
-    plan = _cut(incremental.invalidation(old, files.select(F.col("path").alias("file_uid"), "path", "content_hash")))
+    plan = _kept(incremental.invalidation(old, files.select(F.col("path").alias("file_uid"), "path", "content_hash")))
     changed = plan.filter("action <> 'copy'").select("path")
     before = parent.facts.join(changed, "path", "left_semi")
-    after = _cut(syntax.facts(files.join(plan.filter("action = 'extract'").select("path"), "path", "left_semi")))
+    after = _kept(syntax.facts(files.join(plan.filter("action = 'extract'").select("path"), "path", "left_semi")))
     facts = parent.facts.join(changed, "path", "left_anti").unionByName(after)
     places = facts.select(F.col("path").alias("uid"), "path")
 
     # Imports: those of changed files, and those of keys that files came to answer or no longer do.
     here, gone = after.select("path"), before.select("path")
     moved = here.join(gone, "path", "left_anti").union(gone.join(here, "path", "left_anti"))
-    keys = _cut(resolve.file_keys(moved.select(F.col("path").alias("uid"), "path")).select("key"))
+    keys = _kept(resolve.file_keys(moved.select(F.col("path").alias("uid"), "path")).select("key"))
     kept = parent.links.join(changed, "path", "left_anti")
-    stale_imports = _cut(kept.filter("type = 'IMPORTS'").join(keys.withColumnRenamed("key", "target_key"), "target_key", "left_semi").select(*LINK))
-    asked = _cut(_asked(after))
+    stale_imports = _kept(kept.filter("type = 'IMPORTS'").join(keys.withColumnRenamed("key", "target_key"), "target_key", "left_semi").select(*LINK))
+    asked = _kept(_asked(after))
     ask_imports = asked.filter("type = 'IMPORTS'").unionByName(stale_imports.drop("target_uid"))
     wanted = ask_imports.select(F.col("target_key").alias("key")).distinct()
-    imports = _cut(_linked_imports(ask_imports, resolve.file_keys(places, wanted)))
+    imports = _kept(_linked_imports(ask_imports, resolve.file_keys(places, wanted)))
 
     # Calls: those of changed files, of names whose candidates changed, and of files that import others than before.
     had, has = (_symbols(t).select("uid", "name", "subtype", "path") for t in (before, after))
-    names = _cut(had.exceptAll(has).union(has.exceptAll(had)).select("name").distinct())
+    names = _kept(had.exceptAll(has).union(has.exceptAll(had)).select("name").distinct())
     turned = imports.join(stale_imports.select("edge_uid", F.col("target_uid").alias("_old")), "edge_uid").filter("not (target_uid <=> _old)").select("path").distinct()
     calls = kept.filter("type = 'CALLS'")
     forms = calls.select("edge_uid", F.explode(F.array_distinct(F.array("target_key", F.substring_index("target_key", ".", -1)))).alias("name"))
     named = forms.join(names, "name", "left_semi").select("edge_uid").union(calls.join(turned, "path", "left_semi").select("edge_uid")).distinct()
-    stale_calls = _cut(calls.join(named, "edge_uid", "left_semi").select(*LINK))
+    stale_calls = _kept(calls.join(named, "edge_uid", "left_semi").select(*LINK))
     ask_calls = asked.filter("type = 'CALLS'").unionByName(stale_calls.drop("target_uid"))
     spelled = ask_calls.select(F.explode(F.array("target_key", F.substring_index("target_key", ".", -1))).alias("name")).distinct()
     stale = stale_imports.unionByName(stale_calls)
     untouched = kept.join(stale.select("edge_uid"), "edge_uid", "left_anti").select(*LINK)
     around = untouched.filter("type = 'IMPORTS'").unionByName(imports).join(ask_calls.select("path").distinct(), "path", "left_semi")
-    fresh = _cut(imports.unionByName(_linked_calls(ask_calls, _symbols(facts).join(spelled, "name", "left_semi"), around)))
+    fresh = _kept(imports.unionByName(_linked_calls(ask_calls, _symbols(facts).join(spelled, "name", "left_semi"), around)))
     links = untouched.unionByName(fresh)
 
     # Edges by source, modules by what changed below them: all of a touched one's are made again, others are copied.
     ended = parent.links.join(changed, "path", "left_semi").select(*LINK).unionByName(stale)
-    sources = _cut(ended.unionByName(fresh).select(F.col("source_uid").alias("src")).distinct())
-    modules = _cut(ended.unionByName(fresh).filter("type = 'IMPORTS'").select("path").union(changed).select(_module(F.col("path")).alias("module")).distinct())
+    sources = _kept(ended.unionByName(fresh).select(F.col("source_uid").alias("src")).distinct())
+    modules = _kept(ended.unionByName(fresh).filter("type = 'IMPORTS'").select("path").union(changed).select(_module(F.col("path")).alias("module")).distinct())
     owners = modules.select(_owner("module").alias("src"))
     homes = places.select("path", _module(F.col("path")).alias("module")).join(modules, "module", "left_semi").select("path", "module")
     within = links.filter("type = 'IMPORTS'").join(homes.select("path"), "path", "left_semi")

@@ -65,14 +65,14 @@ def resolve_calls(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | No
     """
     last, key = F.substring_index("target_key", ".", -1), F.col("target_key")
     asked = edges.select("edge_uid", "type", "target_key", F.explode(F.array_compact(F.array(F.when(key.contains("."), F.struct(F.lit(1).alias("stage"), last.alias("_name"))), F.struct(F.lit(2).alias("stage"), key.alias("_name"))))).alias("a")).select("edge_uid", "type", "target_key", "a.*")
-    found = asked.join(_candidates(symbols, "name"), "_name")
+    found = asked.join(_candidates(symbols, "name").hint("merge"), "_name")
     if bindings is not None:
-        at = asked.filter("stage = 2").join(bindings.select("edge_uid", F.col("file_uid").alias("_file")).distinct(), "edge_uid").withColumn("stage", F.lit(3))
-        found = found.unionByName(at.join(_candidates(symbols, "name", "file_uid").withColumnRenamed("_file_uid", "_file"), ["_name", "_file"]).drop("_file"))
+        at = asked.filter("stage = 2").join(bindings.select("edge_uid", F.col("file_uid").alias("_file")).distinct().hint("merge"), "edge_uid").withColumn("stage", F.lit(3))
+        found = found.unionByName(at.join(_candidates(symbols, "name", "file_uid").withColumnRenamed("_file_uid", "_file").hint("merge"), ["_name", "_file"]).drop("_file"))
     fits = F.col("_fits")[_needs(F.col("type"))]
     staged = found.groupBy("edge_uid", "stage").agg(F.sum(fits["n"]).alias("n"), F.min(fits["uid"]).alias("target_uid")).filter("n > 0")
     best = staged.groupBy("edge_uid").agg(F.min_by("target_uid", F.when(F.col("n") == 1, F.col("stage"))).alias("target_uid"), F.min(F.when(F.col("n") == 1, F.col("stage"))).alias("stage"), F.max("n").alias("candidates"))
-    return edges.select("edge_uid", "type", "target_key").join(best, "edge_uid", "left").select("edge_uid", "type", "target_key", F.when(F.col("stage").isNotNull(), F.col("target_uid")).alias("target_uid"), F.col("stage").cast("long").alias("stage"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    return edges.select("edge_uid", "type", "target_key").join(best.hint("merge"), "edge_uid", "left").select("edge_uid", "type", "target_key", F.when(F.col("stage").isNotNull(), F.col("target_uid")).alias("target_uid"), F.col("stage").cast("long").alias("stage"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
 def resolve_includes(edges: DataFrame, files: DataFrame, roots: tuple = ("", "include", "src")) -> DataFrame:

@@ -221,3 +221,12 @@ def test_changed_files_of_a_work_tree(spark, tmp_path):
     assert rows(files.changed_files(spark, root, "since", "HEAD")) == [("a.txt", "modified"), ("b.txt", "deleted")]
     with pytest.raises(ValueError):
         files.changed_files(spark, root, "since")
+
+
+def test_an_index_broadcasts_no_table_of_files_or_symbols(spark):
+    """Spark's estimates are of keys, not of what is parsed out of them; sorted merges keep the driver out of it."""
+    files_ = source(spark, a__x="from b import y\ndef fx(): y.go()\n", b__y="def go(): fx()\n")
+    made = indexing.index(files_)
+    for df in (made.edges, made.unresolved, indexing.refresh(made.facts, files_).edges):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert made.facts.inputFiles()  # written once: files aren't parsed again for every table
