@@ -696,20 +696,17 @@ def http_boundary_links(g):
 
 @query(f"with {HTTP}, l as (select distinct operation, file, line from facts where uid in (select provider from links)) select uid, operation, file, line from facts f where side = 0 and not exists (select 1 from l where l.operation = f.operation and l.file = f.file and l.line = f.line)", plain=True)
 def unmatched_providers(g):
-    p, c = _http(g)
-    return boundary.unmatched(p, boundary.match_http(p, c), "provider").select("uid", "operation", "file", "line")
+    return boundary.unlinked(*_http(g), "provider").select("uid", "operation", "file", "line")
 
 
 @query(f"with {HTTP}, l as (select distinct operation, file, line from facts where uid in (select consumer from links)) select uid, operation, file, line from facts f where side = 1 and not exists (select 1 from l where l.operation = f.operation and l.file = f.file and l.line = f.line)", plain=True)
 def unmatched_consumers(g):
-    p, c = _http(g)
-    return boundary.unmatched(c, boundary.match_http(p, c), "consumer").select("uid", "operation", "file", "line")
+    return boundary.unlinked(*_http(g), "consumer").select("uid", "operation", "file", "line")
 
 
 @query(f"with {HTTP} select case side when 0 then 'provider' else 'consumer' end as side, coalesce(method, '*') as kind, count(*) as n from facts group by 1, 2 union all select 'link', basis, count(*) from links group by 2", plain=True)
 def boundary_summary(g):
-    p, c = _http(g)
-    return boundary.summary(p, c, boundary.match_http(p, c))
+    return boundary.summary(*_http(g))
 
 
 @query(f"with {HTTP} select uid, np as path, upper(coalesce(method, '*')) || ' ' || np as key from norm", plain=True)

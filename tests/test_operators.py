@@ -130,6 +130,19 @@ def test_http_confidence(spark):
     assert got == [0.87, 0.72, 0.9]
 
 
+def test_unlinked_and_counts_without_making_links(spark):
+    """By keys alone, equal to what the links give; a key that all share has a product of links."""
+    methods, paths_ = ["GET", "post", None, "*"], ["/a/{x}", "/a/:y", "/b", "", "/c/d"]
+    made = lambda n, letter, k: spark.createDataFrame([(f"{letter}{i}", methods[i * k % 4], paths_[i * i % (k + 2)], f"op{i % 5}", f"f{i % 3}", i % 2, 0.9) for i in range(n)], "uid string, method string, path string, operation string, file string, line int, confidence double")
+    for p, c in ((made(40, "p", 1), made(30, "c", 3)), (made(9, "p", 3), made(50, "c", 1)), (made(0, "p", 1), made(5, "c", 3))):
+        links = boundary.match_http(p, c)
+        assert rows(boundary.unlinked(p, c, "provider")) == rows(boundary.unmatched(p, links, "provider"))
+        assert rows(boundary.unlinked(p, c, "consumer")) == rows(boundary.unmatched(c, links, "consumer"))
+        assert rows(boundary.linked(p, c, "provider").select("uid")) == rows(links.select("provider").distinct())
+        assert rows(boundary.linked(p, c, "consumer").select("uid")) == rows(links.select("consumer").distinct())
+        assert rows(boundary.summary(p, c)) == rows(boundary.summary(p, c, links))
+
+
 def test_boundary_matching_falls_back_only_without_a_method(spark):
     p = spark.createDataFrame([("p1", "GET", "/a/:id"), ("p2", None, "/b/c")], "uid string, method string, path string")
     c = spark.createDataFrame([("c1", "get", "/a/{x}", 1.0), ("c2", None, "/a/{y}", 1.0), ("c3", "POST", "/a/{y}", 1.0), ("c4", None, "/b/c", 1.0)], "uid string, method string, path string, confidence double")
