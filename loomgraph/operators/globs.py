@@ -1,7 +1,7 @@
 """Many path patterns against many paths, by equality joins on what is literal in a pattern.
 
 ``*`` stands for any characters of a segment, ``**`` for any characters; all else is literal. A pattern is found by one
-anchor: the directories before its first wildcard, else its longest literal segment, else what follows its last wildcard
+anchor: the directories before its first wildcard or its longest literal segment, whichever is longer, else what follows its last wildcard
 from a dot on, else nothing. A path offers each of its directories, segments and dotted ends. Patterns and paths that
 agree in an anchor are then compared by regular expression, so a pattern meets only paths that hold its literal part;
 no expression in the plan grows with the number of patterns.
@@ -28,7 +28,7 @@ def _anchor(pattern: Column) -> Column:
     inner = F.filter(F.split(F.regexp_replace(pattern, r"[^/]*\*[^/]*", "\x01"), "/"), lambda s: ~s.contains("\x01") & (s != ""))
     longest = F.array_max(F.transform(inner, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
     end = F.regexp_extract(pattern, r"(?s)\*[^*/.]*(\.[^*/.]+)\z", 1)
-    return F.when(~pattern.contains("*"), F.concat(F.lit("="), pattern)).when(head != "", F.concat(F.lit("d"), head)).when(longest.isNotNull(), F.concat(F.lit("s"), longest)).when(end != "", F.concat(F.lit("e"), end)).otherwise(F.lit("*"))
+    return F.when(~pattern.contains("*"), F.concat(F.lit("="), pattern)).when((head != "") & (F.length(head) >= F.coalesce(F.length(longest), F.lit(0))), F.concat(F.lit("d"), head)).when(longest.isNotNull(), F.concat(F.lit("s"), longest)).when(end != "", F.concat(F.lit("e"), end)).otherwise(F.lit("*"))
 
 
 def _offers(path: Column) -> Column:

@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import canonical, globs
 
@@ -81,3 +82,9 @@ def test_canonical_json(spark):
 )
 def test_canonical_forms(spark, given, wanted):
     assert canonical.canonical_json(spark.createDataFrame([(given,)], "body string"), "body").first().canonical == wanted
+
+
+def test_a_pattern_is_found_by_its_longest_literal(spark):
+    """A file's name below a wildcard tells more than the few directories before it, which all such patterns share."""
+    df = spark.createDataFrame([("r/*/name.rs",), ("r/**/*5.ts",), ("long/way/*/x.ts",), ("r/*/*",)], "pattern string")
+    assert [x[0] for x in df.select(globs._anchor(F.col("pattern"))).collect()] == ["sname.rs", "dr", "dlong/way", "dr"]
