@@ -121,3 +121,29 @@ def test_trust_report(spark):
     assert [d.split(".")[0] for _, d, _ in got["caveats"]] == ["Call-graph reliability is LOW on this repo", "Import-graph reliability is MEDIUM", "Change-impact reliability is LOW", "Cycle payloads currently emit leaf module names only; full stable keys are not in the user-facing `graph cycles` output"]
     empty = {(r["section"], r["name"]): r["value"] for r in made([])}
     assert empty["summary", "call_resolution_rate"] == 1 and empty["blast_radius", "low"] == 0
+
+
+def test_run_stores_no_row_for_each_policy_and_fact(spark, tmp_path):
+    """Forty facts of two values and thirty policies of one rule: two classes, not 600 violations; readers still see all."""
+    store, facts = VersionedStore(spark, f"file://{tmp_path}/store"), [(f"f{i}", 9.0 if i % 2 else 2.0) for i in range(40)]
+    payload = json.dumps({"policy_id": "p", "version": 1, "measurement_kind": "function_length", "policy_kind": "absolute_max", "threshold": 5.0, "severity": "fail"})
+    t = store.begin()
+    t.append("snapshots", spark.createDataFrame([("s", "r", "full", "ready")], "snapshot_uid string, repo_uid string, kind string, status string"))
+    t.append("measurements", spark.createDataFrame([(k, "s", "r", k, "function_length", f'{{"value":{v}}}') for k, v in facts], "measurement_uid string, snapshot_uid string, repo_uid string, target_stable_key string, kind string, value_json string"))
+    t.append("declarations", spark.createDataFrame([(f"P{i}", "r", "quality_policy", payload, True) for i in range(30)], "declaration_uid string, repo_uid string, kind string, value_json string, is_active boolean"))
+    t.commit()
+    for _ in range(2):
+        assert assessment.run(store, "r", "s", None, "now")["fail"] == 30
+    assert (store.read("quality_violating_classes").count(), store.read("quality_class_members").count()) == (30, 20)
+    want = sorted((f"s-qpa-P{i}", k, v, 5.0, None) for i in range(30) for k, v in facts if v > 5)
+    seen = lambda: rows(store.read("quality_assessment_violations").select("assessment_uid", "target", "value", "threshold", "baseline"))
+    assert seen() == want
+    for table in ("quality_assessment_violations", "quality_class_members"):
+        store.compact(table)
+    assert seen() == want
+    with pytest.raises(ValueError, match="in parts"):
+        store.begin().delete("quality_assessment_violations", spark.createDataFrame([("f1",)], "target string"))
+    t = store.begin()
+    t.delete_where("quality_assessment_violations", snapshot_uid="s")
+    t.commit()
+    assert seen() == []
