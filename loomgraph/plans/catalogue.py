@@ -321,8 +321,8 @@ def dead_nodes_in_path(g):
 SEED = "seed as (select src as node from calls group by 1 order by count(*) desc, src limit 1)"
 
 
-def _seed(g: Graph) -> DataFrame:
-    return g.calls().groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "node").limit(1).select("node")
+def _seed(g: Graph, calls: DataFrame | None = None) -> DataFrame:
+    return (calls or g.calls()).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "node").limit(1).select("node")
 
 
 def _recursive(sql: str) -> str:
@@ -350,9 +350,10 @@ ORACLE_SQL["transitive_callers"] = _recursive(f"+ {SEED}, walk as (select node,
 @query()
 def shortest_path_length(g):
     """The smallest shortest path from the symbol with most callees to the largest key three steps away."""
-    seed = _seed(g)
-    goal = graph.levels(g.calls(), seed, 3).filter("depth = 3").agg(F.max("node")).first()[0]
-    path = graph.shortest_path(g.calls(), seed.first()[0], goal or "", 6)
+    calls = graph.written(g.calls())
+    seed = graph.written(_seed(g, calls))
+    goal = graph.levels(calls, seed, 3, held=True).filter("depth = 3").agg(F.max("node")).first()[0]
+    path = graph.shortest_path(calls, seed.first()[0], goal or "", 6, held=True)
     return g.spark.createDataFrame([(len(path) - 1, ",".join(path))] if path else [], "depth long, path string")
 
 

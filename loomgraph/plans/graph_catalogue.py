@@ -88,11 +88,12 @@ def dead_nodes_by_all_edges(g):
 @query()
 def shortest_path_steps(g):
     """Symbol, file, line and kind of edge at each step of the smallest shortest path to the largest key four steps away."""
-    seed, links = _seed(g), _links(g)
-    goal = graph.levels(links, seed, 4).filter("depth = 4").agg(F.max("node")).first()[0]
+    links = graph.written(_links(g))
+    seed = graph.written(_seed(g, links.filter("type = 'CALLS'")))
+    goal = graph.levels(links, seed, 4, held=True).filter("depth = 4").agg(F.max("node")).first()[0]
     homes = g.files().select(F.col("uid").alias("file_uid"), F.col("path").alias("file"))
     nodes = g.symbols().join(homes, "file_uid", "left").select(F.col("uid").alias("node"), "name", "file", F.col("line_start").alias("line"))
-    return graph.path_steps(links, nodes, seed.first()[0], goal or "", 8)
+    return graph.path_steps(links, nodes, seed.first()[0], goal or "", 8, held=True)
 
 
 ORACLE_SQL["shortest_path_steps"] = _recursive(f"""+ {SEED}, {REFERENCES}, walk as (select node, 0::bigint as depth from seed union select l.dst, w.depth + 1 from walk w join links l on l.src = w.node where w.depth < 4),

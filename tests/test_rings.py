@@ -68,3 +68,20 @@ def test_every_kind_of_edge_keeps_its_target(spark):
     edges = spark.createDataFrame([("x", k, k) for k in [*graph.ALIVE_BY, "READS"]], "src string, dst string, type string")
     files = spark.createDataFrame([("f", "f.py", False)], "uid string, path string, is_test boolean")
     assert {r.uid for r in graph.dead_nodes(symbols, edges, files).collect()} == {"READS", "none"}
+
+
+def test_edges_of_a_search_are_made_once(spark):
+    """Levels, a path and its steps read what was written, however many rounds they take."""
+    made = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "CALLS") for i in range(6)], "src string, dst string, type string").mapInArrow(told, "src string, dst string, type string")
+    seeds = spark.createDataFrame([("n0",)], "node string")
+    assert rows(graph.levels(edges, seeds, None)) == [(f"n{i}", i) for i in range(7)] and made.value == 6
+    assert graph.shortest_path(edges.select("src", "dst"), "n0", "n6", 9) == [f"n{i}" for i in range(7)] and made.value == 12
+    nodes = spark.createDataFrame([], "node string, name string, file string, line long")
+    assert graph.path_steps(edges, nodes, "n0", "n6", 9).count() == 7 and made.value == 18
