@@ -22,12 +22,20 @@ steps as (select distinct src, dst from (
 
 
 def _steps(g: Graph) -> DataFrame:
-    lines = g.table("lineitem").join(g.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l")).distinct()
-    lines = lines.withColumn("node", F.concat(F.lit("N"), F.col("o").cast("string"), F.lit("."), F.col("l").cast("string")))
-    order, customer = Window.partitionBy("o").orderBy("l"), Window.partitionBy("c").orderBy("o", "l")
-    p = lines.select("c", "o", "node", F.lead("node").over(order).alias("next1"), F.lead("node", 2).over(order).alias("next2"), F.row_number().over(order).alias("k"), F.first("node").over(order).alias("home"), F.lead("node").over(customer).alias("on"), F.first("node").over(customer).alias("top"))
-    ends = [F.col("next1"), F.when(F.col("next1").isNull() & (F.col("c") % 5 == 0), F.col("on")), F.when(F.col("next1").isNull() & (F.col("o") % 3 == 0), F.col("home")), F.when(F.col("on").isNull() & (F.col("c") % 5 == 0), F.col("top")), F.when((F.col("k") == 1) & (F.col("o") % 40 == 0), F.col("next2"))]
-    return p.select(F.col("node").alias("src"), F.explode(F.array(*ends)).alias("dst")).filter("dst is not null and src <> dst").distinct()
+    """Steps, an order's from the rows of the order; only what leads from order to order meets by customer. A step may
+    stand twice."""
+    lines = g.table("lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l")).distinct().join(g.table("orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")), "o")
+    lines = lines.groupBy("c", "o").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    name = lambda l: F.concat(F.lit("N"), F.col("o").cast("string"), F.lit("."), l.cast("string"))
+    p = lines.select("c", "o", F.transform("ls", name).alias("n"))
+    step = lambda src, dst: F.struct(src.alias("src"), dst.alias("dst"))
+    at = lambda k: F.get("n", F.lit(k))
+    last = F.element_at("n", -1)
+    within = F.zip_with(F.slice("n", F.lit(1), F.size("n") - 1), F.slice("n", F.lit(2), F.size("n")), step)
+    extra = F.array(F.when((F.col("o") % 3 == 0), step(last, at(0))), F.when((F.col("o") % 40 == 0), step(at(0), at(2))))
+    customer = Window.partitionBy("c").orderBy("o")
+    across = p.filter("c % 5 = 0").select(last.alias("src"), F.lead(at(0)).over(customer).alias("_on"), F.first(at(0)).over(customer).alias("_top")).select("src", F.coalesce("_on", "_top").alias("dst"))
+    return p.select(F.explode(F.concat(within, F.array_compact(extra))).alias("s")).select("s.src", "s.dst").unionByName(across).filter("dst is not null and src <> dst")
 
 
 REACH = f"{STEPS}, reach as (select src as a, dst as b from steps union select r.a, e.dst from reach r join steps e on e.src = r.b)"

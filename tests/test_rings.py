@@ -85,3 +85,22 @@ def test_edges_of_a_search_are_made_once(spark):
     assert graph.shortest_path(edges.select("src", "dst"), "n0", "n6", 9) == [f"n{i}" for i in range(7)] and made.value == 12
     nodes = spark.createDataFrame([], "node string, name string, file string, line long")
     assert graph.path_steps(edges, nodes, "n0", "n6", 9).count() == 7 and made.value == 18
+
+
+def test_ways_that_have_ended_are_not_carried_on(spark, monkeypatch):
+    """Short rings and runs beside a long one: a row is written until its way is known, and not in every round."""
+    sizes, write = [], graph.written
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    rings = [(f"r{k:02}.{i}", f"r{k:02}.{(i + 1) % 3}", f"r{k:02}.{(i + 2) % 3}") for k in range(60) for i in range(3)]
+    runs = [(f"s{k:02}", "end", "start") for k in range(60)] + [(f"w{i:02}", f"w{i + 1:02}" if i < 39 else "end", f"w{i - 1:02}" if i else "start") for i in range(40)]
+    ended, closed = graph._ways(spark.createDataFrame(rings + runs, "node string, to string, back string"))
+    want = [(f"s{k:02}", "end", "start", f"s{k:02}", 1) for k in range(60)] + [(f"w{i:02}", "end", r[2], "w39", 40 - i) for i, r in enumerate(runs[60:])]
+    assert rows(ended) == sorted(want, key=repr)
+    assert rows(closed) == sorted([(n, n[:4] + "0", (3 - int(n[4])) if n[4] != "0" else 3) for n, _, _ in rings], key=repr)
+    assert sum(sizes) < 4 * len(rings + runs) and sizes[-1] <= 40
