@@ -96,8 +96,7 @@ def dead_nodes_by_all_edges(g):
 @query()
 def shortest_path_steps(g):
     """Symbol, file, line and kind of edge at each step of the smallest shortest path to the largest key four steps away."""
-    links = graph.written(_links(g))
-    seed = graph.written(_seed(g, links.filter("type = 'CALLS'")))
+    seed, links = graph.written(_seed(g)), graph.written(_links(g))
     goal = graph.levels(links, seed, 4, held=True).filter("depth = 4").agg(F.max("node")).first()[0]
     homes = g.files().select(F.col("uid").alias("file_uid"), F.col("path").alias("file"))
     nodes = g.symbols().join(homes, "file_uid", "left").select(F.col("uid").alias("node"), "name", "file", F.col("line_start").alias("line"))
