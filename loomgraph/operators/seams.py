@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import dealt
+
 
 def env_rollup(rows: DataFrame) -> DataFrame:
     """Per variable: the strongest access, first default in order of ``ord``, whether defaults differ, support.
@@ -31,5 +33,9 @@ def fs_dynamic(rows: DataFrame) -> DataFrame:
 
 
 def link(accesses: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """Accesses joined to every surface of their file; those of no surface keep a null surface."""
-    return accesses.join(surfaces.select("file", "surface"), "file", "left")
+    """Accesses joined to every surface of their file; those of no surface keep a null surface.
+
+    The result has a row for each pair, far more than the accesses, whose few bytes would be one task: they are dealt
+    over tasks first, without a key, as a file may hold most of them.
+    """
+    return dealt(accesses).join(surfaces.select("file", "surface"), "file", "left")

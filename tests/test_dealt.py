@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomgraph.operators import seams
 from loomgraph.plans import source_catalogue
 from loomgraph.plans.stored_catalogue import texts
 from loomgraph.sources.projection import Graph
@@ -21,3 +23,13 @@ def test_texts_are_dealt_over_tasks(spark, name):
     made = texts(g, name)
     assert made.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism > g.table("part").rdd.getNumPartitions()
     assert made.count() == g.table("part").count()
+
+
+def test_links_of_one_file_are_dealt_over_tasks(spark):
+    """The accesses are few bytes, so one task made all pairs."""
+    accesses = spark.range(400).selectExpr("concat('E', id % 3) as env_name", "case when id = 7 then null when id = 8 then 'none' else 'hot' end as file").coalesce(1)
+    surfaces = spark.range(50).selectExpr("'hot' as file", "concat('S', id) as surface")
+    got = seams.link(accesses, surfaces)
+    assert got.count() == 398 * 50 + 2 and got.filter("surface is null").count() == 2
+    per = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) >= 4 * spark.sparkContext.defaultParallelism and max(per) < sum(per) / 4
