@@ -1,12 +1,13 @@
 """Canonical JSON of nested values: keys in order at every level, no spaces, numbers and escapes in one form.
 
-A document becomes a VARIANT; its containers are opened level by level, one job for a level of nesting, and put together
-again from the innermost out by grouping children under their parent. Only the levels depend on the data: an object of
-any width is a group of rows, and equal documents are done once.
+A document becomes a VARIANT, which keeps the keys of its objects in order, and is written out again; numbers and escapes
+of that text then take their form token by token. A row needs nothing but itself, so nothing is shuffled or stored, and
+no level of nesting costs more than its characters.
 
 Keys are ordered by UTF-16 units, numbers are doubles in their shortest form (1.0 is 1, 1e21 is 1e+21, 0.000001 is plain),
 strings escape quotes, backslashes and control characters only. Defined cases: a text that isn't JSON, or has a key twice
-in one object, gives null, as does null; nulls within stay; empty containers are [] and {}.
+in one object, gives null, as does null; nulls within stay; empty containers are [] and {}; a number beyond all doubles
+is Infinity.
 """
 
 from __future__ import annotations
@@ -14,16 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _cut
-
-_NAMED = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-
-
-def quoted(text: Column) -> Column:
-    """A JSON string."""
-    for c, to in (_NAMED | {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in _NAMED}).items():
-        text = F.replace(text, F.lit(c), F.lit(to))
-    return F.concat(F.lit('"'), text, F.lit('"'))
+# What stands between the quotes of a string. Possessive, so a long string needs no stack.
+_WITHIN = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+# Numbers of so few digits that they are in their shortest form as they stand.
+_SHORT = r"^-?(0|[1-9][0-9]{0,9})([.][0-9]{0,4}[1-9])?$"
+_TOKENS = rf'(?s)"{_WITHIN}"|-?[0-9][0-9.E-]*|[^"0-9-]+'
 
 
 def number(x: Column) -> Column:
@@ -35,37 +31,20 @@ def number(x: Column) -> Column:
     return F.when(x == 0, F.lit("0")).when((size >= 1e21) | (size < 1e-6), F.replace(powers, F.lit("E"), F.lit("e"))).otherwise(plain)
 
 
-def _leaf(v: str) -> Column:
-    kind = F.expr(f"schema_of_variant({v})")
-    as_ = lambda t: F.expr(f"try_variant_get({v}, '$', '{t}')")
-    return F.when(F.expr(f"is_variant_null({v})"), F.lit("null")).when(kind == "BOOLEAN", as_("string")).when(kind == "STRING", quoted(as_("string"))).otherwise(number(as_("double")))
+def _string(token: Column) -> Column:
+    """A marked string without its mark, digits of its escapes in lower case."""
+    text = F.concat(F.lit('"'), F.substr(token, F.lit(3)))
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\\u....|\\.|[^\\]+"), F.lit(0))
+    return F.when(F.contains(text, F.lit("\\u")), F.array_join(F.transform(parts, lambda p: F.when(p.startswith("\\u"), F.lower(p)).otherwise(p)), "")).otherwise(text)
 
 
 def canonical_json(df: DataFrame, json_col: str, name: str = "canonical") -> DataFrame:
     """The rows with a column of canonical JSON."""
-    key = F.sha2(F.col(f"`{json_col}`"), 256)
-    texts = df.filter(F.col(f"`{json_col}`").isNotNull()).select(key.alias("doc"), F.expr(f"try_parse_json(`{json_col}`)").alias("v")).dropDuplicates(["doc"]).filter("v is not null")
-    level = texts.select("doc", F.lit("").alias("parent"), F.lit("$").alias("node"), F.lit("").alias("rank"), F.lit(None).cast("string").alias("name"), "v")
-    levels = []
-    while True:
-        kind = F.substring(F.expr("schema_of_variant(v)"), 1, 5)
-        kept = _cut(level.withColumn("kind", F.when(kind == "OBJEC", "o").when(kind == "ARRAY", "a").otherwise("s")).withColumn("text", F.when(F.col("kind") == "s", _leaf("v"))))
-        levels.append(kept.drop("v"))
-        inner = kept.filter("kind <> 's'")
-        if inner.isEmpty():
-            break
-        inner.createOrReplaceTempView("_canonical_level")
-        opened = df.sparkSession.sql("select doc, node as parent, e.pos, e.key, e.value as v from _canonical_level, lateral variant_explode(v) e")
-        rank = F.when(F.col("key").isNull(), F.lpad(F.col("pos").cast("string"), 10, "0")).otherwise(F.hex(F.encode("key", "UTF-16BE")))
-        level = opened.select("doc", "parent", F.concat("parent", F.lit("/"), F.col("pos").cast("string")).alias("node"), rank.alias("rank"), F.col("key").alias("name"), "v")
-    df.sparkSession.catalog.dropTempView("_canonical_level")
-    done = levels[-1].select("doc", "parent", "node", "rank", "name", "text")
-    for above in reversed(levels[:-1]):
-        pair = F.when(F.col("name").isNull(), F.col("text")).otherwise(F.concat(quoted(F.col("name")), F.lit(":"), F.col("text")))
-        joined = done.groupBy("doc", F.col("parent").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", pair.alias("t")))), lambda x: x["t"]), ",").alias("_in"))
-        whole = above.join(joined, ["doc", "node"], "left")
-        body = F.coalesce("_in", F.lit(""))
-        text = F.when(F.col("kind") == "o", F.concat(F.lit("{"), body, F.lit("}"))).when(F.col("kind") == "a", F.concat(F.lit("["), body, F.lit("]"))).otherwise(F.col("text"))
-        done = whole.select("doc", "parent", "node", "rank", "name", text.alias("text"))
-    out = done.select(F.col("doc").alias("_doc"), F.col("text").alias(name))
-    return df.withColumn("_doc", key).join(out, "_doc", "left").drop("_doc")
+    # A mark before each string tells it from an infinite number, which a variant writes in quotes; the order of keys stays.
+    marked = F.regexp_replace(F.col(f"`{json_col}`"), rf'(?s)"({_WITHIN})"', '"#$1"')
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(marked)), F.lit(_TOKENS), F.lit(0))
+
+    def form(t: Column) -> Column:
+        return F.when(t.startswith('"#'), _string(t)).when(t.startswith('"'), F.replace(t, F.lit('"'), F.lit(""))).when(~t.rlike("^-?[0-9]") | t.rlike(_SHORT), t).otherwise(number(t.cast("double")))
+
+    return df.withColumn(name, F.array_join(F.transform(tokens, form), ""))

@@ -84,6 +84,15 @@ def test_canonical_forms(spark, given, wanted):
     assert canonical.canonical_json(spark.createDataFrame([(given,)], "body string"), "body").first().canonical == wanted
 
 
+def test_canonical_json_needs_only_the_row(spark):
+    """Nothing is shuffled or stored, however deep: a level of nesting was a job, a stored table and a join."""
+    deep, long = "[" * 200 + "]" * 200, '"' + 'x\\n"' .replace('"', '\\"') * 50_000 + '"'
+    odd = '{"b": ["Infinity", 1e400, -1e400, "#"], "#": "\\\\u001F \\u001F\\u001f", "a": "1.0 -2e3"}'
+    got = canonical.canonical_json(spark.createDataFrame([(0, deep), (1, long), (2, odd), (3, None)], "id long, body string"), "body")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.canonical for r in got.orderBy("id").collect()] == [deep, long, '{"#":"\\\\u001F \\u001f\\u001f","a":"1.0 -2e3","b":["Infinity",Infinity,-Infinity,"#"]}', None]
+
+
 def test_a_pattern_is_found_by_its_longest_literal(spark):
     """A file's name below a wildcard tells more than the few directories before it, which all such patterns share."""
     df = spark.createDataFrame([("r/*/name.rs",), ("r/**/*5.ts",), ("long/way/*/x.ts",), ("r/*/*",)], "pattern string")
