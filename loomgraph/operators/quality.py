@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, json_number
 from ..functions.paths import dirname, glob_regex, is_vendored
+from .graph import in_bounded_tasks
 
 
 def complexity_by_file(measurements: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     value = F.get_json_object("value_json", "$.value").cast("double").cast("long")
     rows = measurements.filter("kind = 'cyclomatic_complexity'").select(F.col("target_uid").alias("uid"), value.alias("_v"))
-    return rows.join(symbols.select("uid", "file_uid"), "uid").groupBy("file_uid").agg(F.sum("_v").alias("sum_complexity")).join(files.select(F.col("uid").alias("file_uid"), "path"), "file_uid").select("path", "sum_complexity")
+    return rows.join(symbols.select("uid", "file_uid").hint("merge"), "uid").groupBy("file_uid").agg(F.sum("_v").alias("sum_complexity")).join(files.select(F.col("uid").alias("file_uid"), "path"), "file_uid").select("path", "sum_complexity")
 
 
 def function_metrics(measurements: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -32,8 +33,12 @@ def module_metrics(functions: DataFrame) -> DataFrame:
 
 
 def churn(commits: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Commits and changed lines of each file. A commit that lists a file twice counts once, with all its lines."""
-    by_commit = commits.groupBy("commit", "file_uid").agg(F.sum(F.col("added") + F.col("deleted")).alias("_n"))
+    """Commits and changed lines of each file. A commit that lists a file twice counts once, with all its lines.
+
+    Nearly every row is a pair of its own, so pairs are dealt before they are counted, over tasks of bounded rows.
+    """
+    lines = commits.select("commit", "file_uid", (F.col("added") + F.col("deleted")).alias("_n"))
+    by_commit = in_bounded_tasks(lines, "commit", "file_uid").groupBy("commit", "file_uid").agg(F.sum("_n").alias("_n"))
     rows = by_commit.groupBy("file_uid").agg(F.count("*").alias("commit_count"), F.sum("_n").alias("lines_changed"))
     return rows if files is None else rows.join(files.select(F.col("uid").alias("file_uid"), "path", "is_test"), "file_uid").select("path", "is_test", "commit_count", "lines_changed")
 
@@ -85,10 +90,11 @@ def scope_condition(clauses: list[tuple[str, str]]):
 def policy_rows(policies: list[dict], facts: DataFrame, baseline: DataFrame | None) -> DataFrame:
     """Every fact in scope of a policy, with whether it violates it.
 
-    Policies are few and typed; facts and the baseline are joined once for all of them. ``facts``: target, kind, value,
+    Policies are few and typed; facts and the baseline are joined once for all of them, sorted, since a baseline's few
+    bytes in a file are very many in a table of hashes. ``facts``: target, kind, value,
     module, file, symbol_kind; ``baseline``: target, kind, value.
     """
-    rows = facts if baseline is None else facts.join(baseline.select("target", "kind", F.col("value").alias("_base")), ["target", "kind"], "left")
+    rows = facts if baseline is None else facts.join(baseline.select("target", "kind", F.col("value").alias("_base")).hint("merge"), ["target", "kind"], "left")
     base = F.lit(None).cast("double") if baseline is None else F.col("_base")
     found = []
     for p in policies:

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import seams
+from loomgraph.operators import graph, quality, seams
 from loomgraph.plans import source_catalogue
 from loomgraph.plans.stored_catalogue import texts
 from loomgraph.sources.projection import Graph
@@ -33,3 +33,27 @@ def test_links_of_one_file_are_dealt_over_tasks(spark):
     assert got.count() == 398 * 50 + 2 and got.filter("surface is null").count() == 2
     per = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(per) >= 4 * spark.sparkContext.defaultParallelism and max(per) < sum(per) / 4
+
+
+def test_tasks_follow_the_rows(spark):
+    dealt = graph.in_bounded_tasks(spark.range(1000), "id", most=10)
+    assert dealt.rdd.getNumPartitions() == 100 and dealt.count() == 1000
+    assert graph.in_bounded_tasks(spark.range(0), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pairs_of_commit_and_file_are_dealt_before_they_are_counted(spark):
+    """Map tasks held a table of nearly all their rows, and so did those after the shuffle, whatever their number."""
+    commits = spark.range(3000).selectExpr("id % 700 as commit", "concat('f', id % 9) as file_uid", "id % 5 as added", "1L as deleted")
+    got = quality.churn(commits)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    rows = [(x % 700, f"f{x % 9}", x % 5 + 1) for x in range(3000)]
+    assert {tuple(r) for r in got.collect()} == {(f, len({c for c, g, _ in rows if g == f}), sum(n for _, g, n in rows if g == f)) for f in {g for _, g, _ in rows}}
+
+
+def test_a_baseline_is_not_held_by_every_task(spark):
+    """A column's few bytes in a file are far more in a table of hashes, so size on disk is no measure for a broadcast."""
+    facts = spark.range(50).selectExpr("concat('P', id) as target", "'cyclomatic_complexity' as kind", "double(id) as value", "'m' as module", "'m/f' as file", "'CLASS' as symbol_kind")
+    policy = {"policy_id": "p", "policy_kind": "no_worsened", "measurement_kind": "cyclomatic_complexity", "threshold": 10}
+    got = quality.policy_rows([policy], facts, facts.selectExpr("target", "kind", "value - int(value % 2) as value").filter("value <> 12"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.target for r in got.filter("violates").collect()) == sorted(f"P{i}" for i in range(15, 50, 2)) and got.count() == 50
