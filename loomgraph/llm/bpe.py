@@ -7,7 +7,7 @@ halves' tokens outside of it and the window's are those of the whole. (2) In a r
 window begins with the left half's tokens and ends with the right half's; as a BPE encoding is valid if each pair of
 neighbouring tokens is, the spliced one is that of the whole run. If no window agrees, the whole is encoded at once.
 
-Ordinary words are remembered in a cache of bounded size. A special token written in the text gets its id, as in the
+Texts that stand more than once in a batch, as the copies that a mix takes do, are encoded once. A special token written in the text gets its id, as in the
 public tokenizer. Decoding joins the bytes of ids and replaces what isn't UTF-8.
 
 Defined cases: a null or empty text gives no ids and decodes to the empty text; repeated rows are encoded each; an
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,6 @@ from .common import held, trimmed
 
 VOCABULARY = "byte_bpe_50k.json"
 LEAF, WINDOW, AGREE = 16_384, 64, 2
-CACHE_WORDS = 100_000
-_BEFORE_SPACE = re.compile(r"\s ")
 
 
 def _byte_of() -> dict[str, int]:
@@ -68,46 +67,17 @@ class Codec:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.one_class = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
         self.leaf, self.threads = leaf, threads
-        self._clear()
-
-    def _clear(self):
-        self.known: dict[str, int] = {}
-        self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     # Leaves
 
-    def _words(self, texts: list[str]) -> list[np.ndarray]:
-        """Ranks of texts in which every space follows a character that isn't white space: they split at each space."""
-        split = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            split.append([first] * bool(first) + [" " + w for w in rest])
-        if len(self.known) > CACHE_WORDS:
-            self._clear()
-        new = list({w: None for words in split for w in words if w not in self.known})
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            found = [self.core.encode_ordinary(w) for w in new]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        out = []
-        for words in split:
-            numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            size = self.start[numbers + 1] - self.start[numbers]
-            ends = np.cumsum(size)
-            out.append(self.ids[np.repeat(self.start[numbers] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+    def _leaf(self, text: str) -> np.ndarray:
+        return self.core.encode_to_numpy(text, disallowed_special=()).view(np.int32)
 
     def _leaves(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [k for k, t in enumerate(texts) if not (_BEFORE_SPACE.search(t) or t.endswith(" ") or t.startswith(" "))]
-        out: list = [None] * len(texts)
-        for k, ranks in zip(plain, self._words([texts[k] for k in plain]), strict=True):
-            out[k] = ranks
-        rest = [k for k in range(len(texts)) if out[k] is None]
-        for k, ranks in zip(rest, self.core.encode_ordinary_batch([texts[k] for k in rest], num_threads=self.threads), strict=True):
-            out[k] = np.array(ranks, np.int32)
-        return out
+        if len(texts) < 2:
+            return [self._leaf(t) for t in texts]
+        with ThreadPoolExecutor(self.threads) as pool:
+            return list(pool.map(self._leaf, texts))
 
     # The tree
 
@@ -197,9 +167,14 @@ class Codec:
     # Texts and ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; those of equal texts are one array."""
+        distinct = {text: k for k, text in enumerate(dict.fromkeys(text or "" for text in texts))}
+        ids = self._encoded(list(distinct))
+        return [ids[distinct[text or ""]] for text in texts]
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         parts, owner = [], []
         for k, text in enumerate(texts):
-            text = text or ""
             if self.special is not None and any(s in text for s in self.specials):
                 for part in self.special.split(text):
                     if part:

@@ -58,6 +58,17 @@ def test_encode_tables(public, odd, empty):
     assert bpe.encode(empty).count() == bpe.round_trip(empty).count() == 0
 
 
+def test_copies_are_encoded_once(monkeypatch):
+    """Each copy that the mix took was encoded anew; the ids stay those of every row, in order."""
+    codec, seen = bpe.Codec(leaf=64), []
+    whole = codec.ranks
+    monkeypatch.setattr(codec, "ranks", lambda texts: seen.extend(texts) or whole(texts))
+    a, b = "some words of one text " * 9, "another <|endoftext|> text"
+    got = [x.tolist() for x in codec.encode([a, a, None, b, a, "", b])]
+    assert sorted(seen) == sorted([a, "another ", " text"])
+    assert got == [codec.encode([t])[0].tolist() for t in (a, a, "", b, a, "", b)]
+
+
 # Mixing
 
 
