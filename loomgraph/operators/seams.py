@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .graph import dealt
 
+#: Equal rows of a result that are made together, in one task.
+COPIES = 4096
+
 
 def env_rollup(rows: DataFrame) -> DataFrame:
     """Per variable: the strongest access, first default in order of ``ord``, whether defaults differ, support.
@@ -35,7 +38,13 @@ def fs_dynamic(rows: DataFrame) -> DataFrame:
 def link(accesses: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Accesses joined to every surface of their file; those of no surface keep a null surface.
 
-    The result has a row for each pair, far more than the accesses, whose few bytes would be one task: they are dealt
-    over tasks first, without a key, as a file may hold most of them.
+    The result has a row for each pair, far more than the accesses. Equal accesses meet the surfaces once, with their
+    number; the pairs are dealt over tasks without a key, as a file may hold most of them, in parts of ``COPIES`` rows
+    that only the last step writes out. So what is shuffled grows with the surfaces and not with the result, and equal
+    rows stand together in it.
     """
-    return dealt(accesses).join(surfaces.select("file", "surface"), "file", "left")
+    counted = accesses.groupBy(*accesses.columns).agg(F.count("*").alias("_n"))
+    pairs = dealt(counted).join(surfaces.select("file", "surface"), "file", "left")
+    parts = pairs.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))))
+    each = dealt(parts.withColumn("_n", F.least(F.col("_n") - F.col("_from"), F.lit(COPIES)).cast("int")).drop("_from"))
+    return each.withColumn("_from", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).drop("_n", "_from")

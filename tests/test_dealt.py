@@ -35,6 +35,18 @@ def test_links_of_one_file_are_dealt_over_tasks(spark):
     assert len(per) >= 4 * spark.sparkContext.defaultParallelism and max(per) < sum(per) / 4
 
 
+def test_equal_accesses_meet_surfaces_once(spark, monkeypatch):
+    """What is shuffled was as large as the accesses, and each row of the result was joined by itself."""
+    monkeypatch.setattr(seams, "COPIES", 64)
+    accesses = spark.range(3000).selectExpr("concat('E', id % 2) as env_name", "case id % 3 when 0 then null when 1 then 'none' else 'hot' end as file")
+    surfaces = spark.createDataFrame([("hot", "S1"), ("hot", "S2"), ("hot", "S2"), ("other", "S3")], "file string, surface string")
+    got = seams.link(accesses, surfaces)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") and plan.index("Generate") < plan.index("Repartition") < plan.index("Join")
+    want = {(e, f, s): 500 * n for e in ("E0", "E1") for f, s, n in ((None, None, 1), ("none", None, 1), ("hot", "S1", 1), ("hot", "S2", 2))}
+    assert {(r.env_name, r.file, r.surface): r["count"] for r in got.groupBy("env_name", "file", "surface").count().collect()} == want
+
+
 def test_tasks_follow_the_rows(spark):
     dealt = graph.in_bounded_tasks(spark.range(1000), "id", most=10)
     assert dealt.rdd.getNumPartitions() == 100 and dealt.count() == 1000
