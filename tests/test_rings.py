@@ -50,6 +50,31 @@ def test_rings_and_components(spark):
     assert [r.cycle_id for r in sorted(named, key=lambda r: r.members)] == [f"cycle-{i + 1}" for i in range(len(found))]
 
 
+def test_rings_of_small_components_need_no_rounds(spark, monkeypatch):
+    """Each ring's length was a round of its own; parallel runs between two nodes are rings of their own, and few choices are one task's."""
+    n = 40
+    edges = [(f"a{i:02}", f"a{(i + 1) % n:02}") for i in range(n)] + [(f"a{i:02}", f"a{i - 2:02}") for i in range(2, n, 6)]
+    edges += [("u", "v"), ("u", "w1"), ("w1", "v"), ("u", "w2"), ("w2", "w3"), ("w3", "v"), ("v", "u"), ("v", "x"), ("x", "u")]
+    edges += [("a00", "t1"), ("t1", "t2"), ("t2", "t3"), ("t3", "t2")]
+    found = by_hand(edges)[0]
+    calls, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: calls.append(1) or write(df))
+    df = spark.createDataFrame(edges, "src string, dst string")
+    assert sorted((r.members, r.length) for r in graph.rings(df).collect()) == found
+    assert len(calls) < 40
+    monkeypatch.setattr(graph, "CHOICES", 3)
+    assert sorted((r.members, r.length) for r in graph.rings(df).collect()) == found
+    assert [r.members.split(",") for r in sorted(graph.numbered_rings(graph.rings(df)).collect(), key=lambda r: int(r.cycle_id[6:]))] == [m for m, _ in sorted(found, key=lambda f: ",".join(f[0]))]
+
+
+def test_weak_components(spark):
+    rnd = random.Random(3)
+    order = rnd.sample(range(100, 200), 100)
+    line = [(f"n{a}", f"n{b}")[:: rnd.choice((1, -1))] for a, b in zip(order, order[1:], strict=False) if order.index(a) % 30 != 29]
+    want = {f"n{x}": "n" + str(min(order[k - k % 30 : k - k % 30 + 30])) for k, x in enumerate(order)}
+    assert dict(graph.weak_components(spark.createDataFrame(line, "src string, dst string")).collect()) == want
+
+
 def test_no_rings(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert graph.rings(df).count() == 0 and graph.strongly_connected(df.limit(0)).count() == 0
